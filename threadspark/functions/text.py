@@ -133,8 +133,8 @@ def removal_notice(text: Column) -> Column:
 
 def safe_int(value: Column) -> Column:
     """Integer from a number or a digit string; null unless it is exactly representable."""
-    text = trim(value.cast("string"))
-    number = F.when(text.rlike(r"^-?[0-9]{1,18}$"), text.try_cast("bigint"))
+    digits = F.regexp_extract(value.cast("string"), f"^[{fv.SPACE}]*(-?[0-9]{{1,16}})[{fv.SPACE}]*$", 1)
+    number = F.nullif(digits, F.lit("")).try_cast("bigint")
     return F.when(F.abs(number) <= 9007199254740991, number)
 
 

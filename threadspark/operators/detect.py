@@ -309,10 +309,14 @@ def build_findings(members: DataFrame, replies: DataFrame, reasons: DataFrame) -
     )
 
 
-def analyze_replies(replies: DataFrame, rules: DataFrame, lexicon=None, thresholds=None) -> DataFrame:
-    """Findings of every thread."""
-    # Both are read by every signal; written once, they hold no text and survive lost executors.
+def finding_members(replies: DataFrame, lexicon=None, thresholds=None) -> DataFrame:
+    """Scored replies of every finding.  Inputs that every signal reads are written once."""
     posts = cut_lineage(prepare_posts(replies, lexicon))
     targets = cut_lineage(resolve_targets(replies))
-    members = cut_lineage(scored_members(posts, targets, risk_scores(posts, targets), thresholds))
+    return cut_lineage(scored_members(posts, targets, risk_scores(posts, targets), thresholds))
+
+
+def analyze_replies(replies: DataFrame, rules: DataFrame, lexicon=None, thresholds=None) -> DataFrame:
+    """Findings of every thread."""
+    members = finding_members(replies, lexicon, thresholds)
     return build_findings(members, replies, reason_candidates(rules))

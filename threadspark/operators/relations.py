@@ -55,9 +55,8 @@ def floor_edges(replies: DataFrame) -> DataFrame:
         .drop("n")
     )
     numbers = F.array_distinct(F.regexp_extract_all("content", F.lit(fv.FLOOR_REFERENCE), F.lit(1)))
-    cited = replies.select(
-        "thread_id", F.col("id").alias("src"), F.explode(numbers).cast("bigint").alias("floor_no")
-    )
+    cited = replies.select("thread_id", F.col("id").alias("src"), F.explode(numbers).alias("floor_no"))
+    cited = cited.withColumn("floor_no", F.col("floor_no").cast("bigint"))
     return cited.join(unique_floor, ["thread_id", "floor_no"]).select("thread_id", "src", "dst")
 
 

@@ -66,7 +66,7 @@ DISCUSSION = (
 
 EVENT_REPLIES = """event_replies AS (
   SELECT event_type AS thread_id, CAST(user_id AS VARCHAR) AS author_name,
-         CAST(event_id AS VARCHAR) AS id, event_id AS pos, epoch_ms(ts) AS timestamp_ms,
+         CAST(event_id AS VARCHAR) AS id, event_id AS pos, epoch_us(ts) // 1000 AS timestamp_ms,
          CAST(trunc(value) AS INTEGER) AS risk
   FROM events)"""
 

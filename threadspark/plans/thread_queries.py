@@ -3,8 +3,11 @@
 from pyspark.sql import functions as F
 
 from threadspark import fixed_values as fv
+from threadspark.functions.text import dedupe_key
 from threadspark.operators import detect, graph, ordinals, relations
+from threadspark.operators.payloads import minute_offset, wire_ids
 from threadspark.plans.registry import DISCUSSION, EVENT_REPLIES, REPLIES, WS, query, sql_squeeze
+from threadspark.session import cut_lineage
 from threadspark.sources.rules import rules_table
 
 # --- relations -------------------------------------------------------------------------------
@@ -119,8 +122,6 @@ def thread_order(t):
      CAST(greatest(0, round((r.timestamp_ms - min(r.timestamp_ms) OVER (PARTITION BY r.thread_id)) / 60000.0)) AS BIGINT) AS minute_offset
    FROM discussion r LEFT JOIN discussion p ON p.thread_id = r.thread_id AND p.id = r.parent_reply_id""")
 def wire_id(t):
-    from threadspark.operators.payloads import minute_offset, wire_ids
-
     rows = minute_offset(wire_ids(t.discussion))
     return rows.select("thread_id", "id", "wire_id", "parent_wire_id", "minute_offset")
 
@@ -154,14 +155,12 @@ _KEY = (
 )
 
 
-@query("duplicate_spam", f"""WITH d AS (SELECT doc_id, source, {_KEY.replace('content', 'text')} AS k FROM documents),
-   g AS (SELECT source, k, count(*) AS n FROM d WHERE k <> '' GROUP BY ALL HAVING count(*) >= 3)
-   SELECT doc_id, n AS copies, least(90, 48 + (n - 3) * 8) AS score FROM d JOIN g USING (source, k)""")
+@query("duplicate_spam", f"""WITH d AS (SELECT doc_id, lang, {_KEY.replace('content', 'text')} AS k FROM documents),
+   g AS (SELECT lang, k, count(*) AS n FROM d WHERE k <> '' GROUP BY ALL HAVING count(*) >= 3)
+   SELECT doc_id, n AS copies, least(90, 48 + (n - 3) * 8) AS score FROM d JOIN g USING (lang, k)""")
 def duplicate_spam(t):
-    from threadspark.functions.text import dedupe_key
-
     posts = t.documents.select(
-        "doc_id", F.lit("all").alias("thread_id"), F.col("source").alias("author_key"), dedupe_key(F.col("text")).alias("k")
+        "doc_id", F.lit("all").alias("thread_id"), F.col("lang").alias("author_key"), dedupe_key(F.col("text")).alias("k")
     ).withColumn("text_key", F.when(F.col("k") != "", F.md5("k")))
     found = posts.join(detect.duplicate_counts(posts), ["thread_id", "author_key", "text_key"])
     score = F.least(F.lit(fv.DUPLICATE_MAX), fv.DUPLICATE_BASE + (F.col("n") - fv.DUPLICATE_MIN) * fv.DUPLICATE_STEP)
@@ -220,8 +219,9 @@ scores AS (SELECT thread_id, id, risk_type, CAST(least(100, sum(score)) AS INTEG
 
 @query("risk_scores", f"WITH {DISCUSSION}, {_SCORES} SELECT * FROM scores")
 def risk_scores(t):
-    posts = detect.prepare_posts(t.discussion)
-    return detect.risk_scores(posts, relations.resolve_targets(t.discussion)).drop("labels")
+    posts = cut_lineage(detect.prepare_posts(t.discussion))
+    targets = cut_lineage(relations.resolve_targets(t.discussion))
+    return detect.risk_scores(posts, targets).drop("labels")
 
 
 _MEMBERS = """people AS (SELECT thread_id, id, list_sort(list(target)) AS targets FROM targets GROUP BY ALL),
@@ -233,18 +233,14 @@ members AS (SELECT s.*, d.pos, d.content, d.timestamp_ms, d.image_count, d.paren
 
 @query("finding_members", f"WITH {DISCUSSION}, {_SCORES}, {_MEMBERS} SELECT thread_id, id, risk_type, score, replace(cluster, chr(0), '|') AS cluster FROM members")
 def finding_members(t):
-    posts = detect.prepare_posts(t.discussion)
-    targets = relations.resolve_targets(t.discussion)
-    members = detect.scored_members(posts, targets, detect.risk_scores(posts, targets))
+    members = detect.finding_members(t.discussion)
     return members.select("thread_id", "id", "risk_type", "score", F.replace("cluster", F.lit("\x00"), F.lit("|")).alias("cluster"))
 
 
 @query("finding_participants", f"""WITH {DISCUSSION}, {_SCORES}, {_MEMBERS} SELECT DISTINCT thread_id, risk_type, replace(cluster, chr(0), '|') AS cluster,
    unnest(list_concat([author_name], targets)) AS name FROM members""")
 def finding_participants(t):
-    posts = detect.prepare_posts(t.discussion)
-    targets = relations.resolve_targets(t.discussion)
-    people = detect.finding_participants(detect.scored_members(posts, targets, detect.risk_scores(posts, targets)))
+    people = detect.finding_participants(detect.finding_members(t.discussion))
     return people.select("thread_id", "risk_type", F.replace("cluster", F.lit("\x00"), F.lit("|")).alias("cluster"), "name")
 
 
