@@ -70,7 +70,7 @@ def _mark_with_row_dictionary(texts: DataFrame, names: DataFrame) -> DataFrame:
     return rows.select(
         *texts.columns,
         F.array_join(pieces, MARK).alias("marked"),
-        F.transform(hits, lambda h: F.element_at(F.col("by_name"), h)).alias("aliases"),
+        F.transform(hits, lambda h: F.try_element_at(F.col("by_name"), h)).alias("aliases"),
     )
 
 

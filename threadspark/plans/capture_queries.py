@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from threadspark.operators import reconcile
 from threadspark.plans.registry import query, sql_clean
+from threadspark.session import cut_lineage
 from threadspark.sources import page_json
 
 
@@ -65,11 +66,11 @@ def raw_pages(t):
 
 _BASE = """base AS (SELECT *, turn // 3 + 1 AS page, conv_id * 1000 + turn AS pid FROM conversations),
  pg AS (SELECT conv_id, page, CASE WHEN conv_id % 11 = 5 AND page = 1 THEN 'empty_body' WHEN conv_id % 13 = 6 AND page = 1 THEN 'not_json' WHEN conv_id % 7 = 3 AND page = 2 THEN 'remote_error'
-   WHEN conv_id % 17 = 4 THEN 'thread_mismatch' WHEN count(*) FILTER (turn % 3 < 2 AND role <> 'system') = 0 THEN 'no_replies' END AS error FROM base GROUP BY ALL HAVING count(*) FILTER (turn % 3 < 2) > 0),
+   WHEN conv_id % 17 = 4 THEN 'thread_mismatch' WHEN count(*) FILTER (turn % 3 < 2 AND role <> 'system') = 0 THEN 'no_replies' END AS error FROM base GROUP BY conv_id, page HAVING count(*) FILTER (turn % 3 < 2) > 0),
  total AS (SELECT conv_id, max(page) AS total, count(*) AS turns FROM base GROUP BY 1),
  ok AS (SELECT b.*, t.total, t.turns FROM base b JOIN pg USING (conv_id, page) JOIN total t USING (conv_id) WHERE error IS NULL),
  par AS (SELECT m.conv_id, m.page, m.pid AS parent_id, m.turn + 1 AS floor, count(n.pid) AS previews, count(n.pid) + CASE WHEN m.conv_id % 5 = 0 THEN 2 ELSE 0 END AS declared
-   FROM ok m LEFT JOIN ok n ON n.conv_id = m.conv_id AND n.turn = m.turn + 1 WHERE m.turn % 3 = 1 GROUP BY ALL),
+   FROM ok m LEFT JOIN ok n ON n.conv_id = m.conv_id AND n.turn = m.turn + 1 WHERE m.turn % 3 = 1 GROUP BY m.conv_id, m.page, m.pid, m.turn),
  parents AS (SELECT * FROM par WHERE declared > 0)"""
 
 
@@ -152,9 +153,10 @@ def _nested(t, parents):
 
 def _states(t):
     replies, parents, pages = _read(t)
-    known = reconcile.preview_satisfied(reconcile.merge_parents(parents), reconcile.preview_ids(replies))
+    known = cut_lineage(reconcile.preview_satisfied(reconcile.merge_parents(parents), reconcile.preview_ids(replies)))
     nested_pages, nested_replies = _nested(t, known)
-    return replies, pages, reconcile.nested_reconcile(known, nested_pages, nested_replies), nested_replies
+    states = cut_lineage(reconcile.nested_reconcile(known, nested_pages, nested_replies))
+    return replies, pages, states, nested_replies
 
 
 @query("nested_reconcile", f"""WITH {_BASE} SELECT CAST(conv_id AS VARCHAR) AS thread_id, CAST(parent_id AS VARCHAR) AS parent_id, previews >= declared AS satisfied, declared AS available_count,
@@ -170,7 +172,7 @@ def _verdict(t):
     extra = nested.select("thread_id", "id", F.lit(True).alias("is_nested"), "parent_id", F.lit(0).alias("image_count"))
     every = listed.unionByName(extra).groupBy("thread_id", "id", "is_nested", "parent_id").agg(F.max("image_count").alias("image_count"))
     fetched = every.filter("is_nested").groupBy("thread_id", "parent_id").agg(F.count("*").alias("fetched"))
-    resolved = reconcile.parent_unresolved(states, fetched)
+    resolved = cut_lineage(reconcile.parent_unresolved(states, fetched))
     failures = t.conversations.select(F.col("conv_id").cast("string").alias("thread_id")).distinct().withColumn("failed_requests", F.lit(0))
     return reconcile.completeness(
         reconcile.page_frontier(pages), reconcile.page_diagnostics(pages, replies), resolved, every, failures

@@ -7,6 +7,7 @@ from threadspark.functions.text import (
     blank_to_null, clean_text, epoch_ms, flatten_content, iso_time, safe_count, safe_int, trim, valid_reply_id,
 )
 from threadspark.operators.ordinals import first_per_key
+from threadspark.session import cut_lineage
 
 AUTHOR = "struct<id:string,name:string,name_show:string,show_name:string>"
 # Content and preview lists come in more than one shape, so they are kept as JSON text first.
@@ -79,7 +80,8 @@ def parse_bodies(raw_pages: DataFrame) -> DataFrame:
 
 
 def split_bad_pages(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(usable pages, rejected pages with their error code)."""
+    """(usable pages, rejected pages with their error code).  Bodies are parsed once and written."""
+    parsed = cut_lineage(parsed)
     bad = parsed.filter(F.col("error_code").isNotNull()).select(*KEY, "error_code", "body")
     return parsed.filter(F.col("error_code").isNull()), bad
 
@@ -100,7 +102,7 @@ def page_nodes(good: DataFrame) -> DataFrame:
     nested = F.col("sub_no") > 0
     content = F.col("node.content")
     text, images = flatten_content(F.from_json(F.when(content.startswith("["), content), PARTS))
-    user = F.element_at(F.filter("users", lambda u: u["id"] == F.col("node.author_id")), -1)
+    user = F.try_element_at(F.filter("users", lambda u: u["id"] == F.col("node.author_id")), F.lit(-1))
     stamp = epoch_ms(F.col("node.time"))
     return rows.select(
         *KEY, "main_no", "sub_no", "declared", "main_id", nested.alias("is_nested"),
@@ -121,7 +123,8 @@ def read_thread_pages(good: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     A main without a valid id makes itself and its previews unparsed; so do previews under a main
     whose id was already taken by a preview.  Repeated ids of a page are returned once.
     """
-    nodes = page_nodes(good)
+    # Parsed once and written: replies, parents and counters all read these rows.
+    nodes = cut_lineage(page_nodes(good))
     usable = nodes.filter(F.col("id").isNotNull() & F.col("main_id").isNotNull())
     place = F.struct("main_no", "sub_no")
     taken = usable.groupBy(*KEY, F.col("id").alias("main_id")).agg(F.min_by("is_nested", place).alias("main_id_taken"))
