@@ -20,7 +20,6 @@ PAGER_CLASSES = ["l_pager", "pager", "pb_list_pager"]
 TITLE_CLASSES = ["core_title_txt", "pc-pb-title"]
 REPLY_TOP_CLASSES = ["pc-pb-reply-top"]
 NESTED_PAGER_CLASS = "lzl_li_pager"
-EMPTY_SENTINEL_CLASS = "lzl_no_reply"
 VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 ELEMENTS = (
     "page_id string, node_no int, tag string, element_id string, classes array<string>, attributes map<string,string>,"
@@ -246,12 +245,18 @@ def read_nested_pages(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.max(F.when(_has(NESTED_PAGER_CLASS), safe_int(F.get_json_object(pager_field, "$.total_num")))).alias("total_num"),
         F.max(F.when(_has(NESTED_PAGER_CLASS), safe_int(F.get_json_object(pager_field, "$.total_page")))).alias("total_pages"),
         F.count_if((F.col("tag") == "li") & ~_has("lzl_single_post", NESTED_PAGER_CLASS)).alias("unknown_count"),
-        F.bool_or(_has(EMPTY_SENTINEL_CLASS)).alias("says_empty"),
+        F.max(F.when(_has(NESTED_PAGER_CLASS), pager_field)).alias("pager_field"),
     )
     rows = pager.join(raw, "page_id", "left").join(stable, "page_id", "left")
     rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ["raw_count", "stable_count", "duplicate_count"]})
+    # Past the last page the endpoint answers with nothing but {"total_num": null, "total_page": 0}.
+    only_totals = F.array_sort(F.json_object_keys("pager_field")) == F.array(F.lit("total_num"), F.lit("total_page"))
+    is_empty = (
+        (F.col("pagers") == 1) & F.coalesce(only_totals, F.lit(False)) & F.col("total_num").isNull()
+        & (F.coalesce("total_pages", F.lit(-1)) == 0) & (F.col("raw_count") == 0) & (F.col("unknown_count") == 0)
+    )
     return rows.select(
         "page_id", "total_num", "total_pages", ((F.col("pagers") == 1) & F.col("total_num").isNotNull() & F.col("total_pages").isNotNull()).alias("has_trusted_pager"),
         "raw_count", "stable_count", "duplicate_count", (F.col("raw_count") - F.col("stable_count")).alias("unparsed_count"), "unknown_count",
-        (F.col("says_empty") & (F.col("raw_count") == 0) & (F.col("total_num") == 0) & (F.col("total_pages") == 0)).alias("is_empty_sentinel"),
+        is_empty.alias("is_empty_sentinel"),
     ), replies
