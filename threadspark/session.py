@@ -25,17 +25,20 @@ def local_session(cores: str = "*", app: str = "threadspark", shuffle_partitions
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
-
-    Only a local master may fall back to a folder of this machine.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; only a local master may fall back to this machine."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            shared = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(shared)
+            folder = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(folder)
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder: written once, survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
