@@ -18,6 +18,13 @@ def _stream(t, name):
     return rows.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
 
 
+def _keyed_state(t):
+    t.spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+
+
 def _folders(t):
     base = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
     return f"{base}/out", f"{base}/checkpoint"
@@ -36,7 +43,7 @@ def stream_bursts(t):
    WHERE day + INTERVAL 1 DAY <= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 1 DAY GROUP BY 1""")
 def stream_usage(t):
     calls = _stream(t, "lineitem").select(
-        F.concat_ws(":", "l_orderkey", "l_linenumber").alias("attempt_id"), F.col("l_shipdate").alias("called_at"),
+        F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("attempt_id"), F.col("l_shipdate").alias("called_at"),
         F.col("l_quantity").cast("bigint").alias("input_tokens"), (F.col("l_partkey") % 100).alias("output_tokens"),
     )
     return jobs.usage_by_month(jobs.start_available(jobs.stream_usage(calls), *_folders(t)))
@@ -58,13 +65,34 @@ def stream_merge_captures(t):
 @query("stream_claims", """SELECT CAST(o_custkey AS VARCHAR) AS snapshot_id, CAST(o_orderkey AS VARCHAR) AS attempt_id, n = 1 OR o_orderkey % 11 = 0 AS granted FROM (
    SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, CAST(o_orderkey AS VARCHAR)) AS n FROM orders)""")
 def stream_claims(t):
-    if "RocksDB" not in t.spark.conf.get("spark.sql.streaming.stateStore.providerClass"):
-        t.spark.conf.set(
-            "spark.sql.streaming.stateStore.providerClass",
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        )
+    _keyed_state(t)
     events = _stream(t, "orders").select(
         F.col("o_custkey").cast("string").alias("snapshot_id"), F.col("o_orderkey").cast("string").alias("attempt_id"), F.lit("claim").alias("kind"),
         F.lit("preparing").alias("status"), (F.col("o_orderkey") % 11 == 0).alias("force"), F.col("o_orderdate").alias("at"),
     )
     return jobs.start_available(jobs.stream_claims(events), *_folders(t)).select("snapshot_id", "attempt_id", "granted")
+
+
+@query("stream_expiry", """WITH a AS (SELECT CAST(o_orderkey AS VARCHAR) AS attempt_id, o_orderstatus, epoch_us(o_orderdate) // 1000 AS placed,
+     epoch_us(o_orderdate) // 1000 + CASE WHEN o_orderpriority = '1-URGENT' THEN 600000 ELSE 180000 END AS deadline_ms FROM orders)
+   SELECT attempt_id, CASE o_orderstatus WHEN 'O' THEN 'unknown_after_disconnect' ELSE 'cancelled_before_send' END AS status, deadline_ms FROM a
+   WHERE o_orderstatus IN ('O', 'P') AND deadline_ms <= (SELECT max(placed) FROM a)""")
+def stream_expiry(t):
+    _keyed_state(t)
+    events = _stream(t, "orders").select(
+        F.col("o_orderkey").cast("string").alias("attempt_id"),
+        F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "P", "preparing").otherwise("success").alias("status"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "deep").otherwise("fast").alias("mode"), F.col("o_orderdate").alias("at"),
+    )
+    return jobs.start_available(jobs.stream_expiry(events), *_folders(t))
+
+
+@query("stream_change_events", """SELECT CAST(user_id AS VARCHAR) AS thread_id, max(epoch_us(ts) // 1000) + 750 AS emitted_ms FROM events GROUP BY 1
+   HAVING max(epoch_us(ts) // 1000) + 750 <= (SELECT max(epoch_us(ts) // 1000) FROM events)""")
+def stream_change_events(t):
+    _keyed_state(t)
+    posts = _stream(t, "events").select(
+        F.col("user_id").cast("string").alias("thread_id"), F.col("event_id").cast("string").alias("id"),
+        F.concat_ws("|", "event_type", "value").alias("content"), F.col("ts").alias("at"),
+    )
+    return jobs.start_available(jobs.stream_change_events(posts), *_folders(t)).select("thread_id", "emitted_ms")
