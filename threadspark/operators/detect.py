@@ -9,6 +9,8 @@ from threadspark.operators.relations import resolve_targets
 from threadspark.session import cut_lineage
 
 UNKNOWN_AUTHOR = "[未知用户:"
+# Fixed value: MD5 of the empty text, the key of replies without letters or digits.
+EMPTY_TEXT_KEY = "d41d8cd98f00b204e9800998ecf8427e"
 
 
 def author_key(author: Column, reply_id: Column) -> Column:
@@ -37,7 +39,7 @@ def lexical_scores(replies: DataFrame, lexicon=None) -> DataFrame:
 def duplicate_counts(posts: DataFrame) -> DataFrame:
     """``thread_id, author_key, text_key, n`` of texts one author posted three times or more."""
     return (
-        posts.filter(F.col("text_key").isNotNull())
+        posts.filter(F.col("text_key") != EMPTY_TEXT_KEY)
         .groupBy("thread_id", "author_key", "text_key")
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") >= fv.DUPLICATE_MIN)
@@ -95,7 +97,7 @@ def prepare_posts(replies: DataFrame, lexicon=None) -> DataFrame:
         F.coalesce(F.col("timestamp_ms"), parse_forum_time(time_text)).alias("timestamp_ms"),
         (F.col("timestamp_ms").isNull() & time_text.isNull()).alias("lacks_time"),
         (F.col("image_count") > 0).alias("has_images"),
-        F.when(F.col("_key") != "", F.md5("_key")).alias("text_key"),
+        F.md5("_key").alias("text_key"),
         *[c for c in scored.columns if c.startswith(("score_", "labels_"))],
     )
 

@@ -160,8 +160,9 @@ _KEY = (
    SELECT doc_id, n AS copies, least(90, 48 + (n - 3) * 8) AS score FROM d JOIN g USING (lang, k)""")
 def duplicate_spam(t):
     posts = t.documents.select(
-        "doc_id", F.lit("all").alias("thread_id"), F.col("lang").alias("author_key"), dedupe_key(F.col("text")).alias("k")
-    ).withColumn("text_key", F.when(F.col("k") != "", F.md5("k")))
+        "doc_id", F.lit("all").alias("thread_id"), F.col("lang").alias("author_key"), F.md5(dedupe_key(F.col("text"))).alias("text_key")
+    )
+    posts = cut_lineage(posts)
     found = posts.join(detect.duplicate_counts(posts), ["thread_id", "author_key", "text_key"])
     score = F.least(F.lit(fv.DUPLICATE_MAX), fv.DUPLICATE_BASE + (F.col("n") - fv.DUPLICATE_MIN) * fv.DUPLICATE_STEP)
     return found.select("doc_id", F.col("n").alias("copies"), score.alias("score"))
