@@ -10,7 +10,7 @@ def _given(t):
     return page_html.page_facts(page_html.element_rows(t.pages))
 
 
-@query("extract_title")
+@query("extract_title", "SELECT CAST(page_id AS VARCHAR) AS page_id, " + sql_clean("replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp;', '&')") + " AS title FROM pages")
 def extract_title(t):
     return _given(t).select("page_id", "title")
 

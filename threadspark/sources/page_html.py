@@ -74,6 +74,8 @@ def _parse_batches(batches):
             parser = _Elements()
             parser.feed(html or "")
             parser.close()
+            # Every page has a row, even one without any marked element.
+            out.append((str(page_id), -1, "#page", None, [], {}, "", None, None))
             for row in parser.rows:
                 if row["classes"] or row["attributes"] or row["tag"] in ("title", "h1", "html"):
                     out.append((str(page_id), row["node_no"], row["tag"], row["element_id"], row["classes"], row["attributes"], "".join(row["text"]), row["main_no"], row["reply_no"]))
@@ -98,7 +100,7 @@ def _first(value: Column, test: Column) -> Column:
     return F.min_by(text, F.when(text.isNotNull(), F.col("node_no")))
 
 
-def page_facts(elements: DataFrame) -> DataFrame:
+def page_facts(elements: DataFrame, title_suffix: str | None = None) -> DataFrame:
     """One row per page: title, layout markers, declared count, pager links and declared pages."""
     is_main = _has("l_post")
     explicit = F.when(F.col("attributes").getItem("data-total-page").rlike("^[0-9]{1,9}$"), F.col("attributes").getItem("data-total-page").try_cast("int"))
@@ -118,12 +120,15 @@ def page_facts(elements: DataFrame) -> DataFrame:
         # Links of one page; their number is bounded by the page itself.
         F.collect_set(F.when(F.col("tag") == "a", F.col("attributes").getItem("href"))).alias("links"),
     )
-    return facts.withColumn("title", extract_title(F.col("explicit_title"), F.col("document_title")))
+    return facts.withColumn("title", extract_title(F.col("explicit_title"), F.col("document_title"), title_suffix))
 
 
-def extract_title(explicit: Column, document_title: Column, suffix: str = r"[_-]?百度贴吧\s*$") -> Column:
-    """The explicit heading, else the document title without the site suffix."""
-    return F.coalesce(explicit, F.trim(F.regexp_replace(F.coalesce(document_title, F.lit("")), suffix, "")))
+def extract_title(explicit: Column, document_title: Column, suffix: str | None = None) -> Column:
+    """The explicit heading, else the document title without the site's suffix (a pattern)."""
+    whole = F.coalesce(document_title, F.lit(""))
+    if suffix is not None:
+        whole = F.regexp_replace(whole, rf"[_-]?(?:{suffix})\s*$", "")
+    return F.coalesce(explicit, F.trim(whole))
 
 
 def classify_page(facts: DataFrame) -> DataFrame:
