@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from threadspark.operators import ledger, merges
-from threadspark.plans.registry import DISCUSSION, query
+from threadspark.plans.registry import DISCUSSION, query, sql_trim
 from threadspark.sources.rules import rules_table
 
 HOST = "forum.example.org"
@@ -109,16 +109,21 @@ def latest_declared_count(t):
 # --- identities ------------------------------------------------------------------------------
 
 
-@query("snapshot_id", f"""WITH {DISCUSSION} SELECT md5(string_agg(concat_ws('|', floor, author_name, coalesce(timestamp_ms, -1), content), chr(10) ORDER BY pos)) IS NOT NULL AS has_id,
-   count(*) AS rows, CAST(64 AS INTEGER) AS id_length, thread_id FROM discussion GROUP BY thread_id""")
+_LINE = sql_trim("regexp_replace(x, '[\\t\\f\\x{0B} ]+', ' ', 'g')")
+_CANONICAL = sql_trim(
+    "array_to_string(list_transform(string_split(regexp_replace(nfc_normalize(content), '\\r\\n?', chr(10), 'g'), chr(10)), "
+    f"lambda x: {_LINE}), chr(10))"
+)
+
+
+@query("snapshot_id", f"""WITH {DISCUSSION}, r AS (SELECT thread_id, pos, sha256(CAST(to_json({{'id': id, 'parent_reply_id': parent_reply_id, 'floor': floor, 'author': author_name,
+     'timestamp_ms': timestamp_ms, 'content': {_CANONICAL}, 'image_count': image_count, 'is_nested': is_nested, 'unexpanded_nested_count': 0}}) AS VARCHAR)) AS digest FROM discussion),
+   b AS (SELECT thread_id, sha256(sha256(sha256(sha256(string_agg(digest, ',' ORDER BY pos))))) AS digest FROM r GROUP BY thread_id)
+   SELECT thread_id, sha256(CAST(to_json({{'title': thread_id, 'digest': digest}}) AS VARCHAR)) AS snapshot_id FROM b""")
 def snapshot_id(t):
     rows = t.discussion.withColumns({"site_reply_id": F.col("id"), "unexpanded_nested_count": F.lit(0)})
     titles = rows.select("thread_id").distinct().withColumn("title", F.col("thread_id"))
-    ids = ledger.snapshot_ids(rows, titles)
-    sizes = rows.groupBy("thread_id").agg(F.count("*").alias("rows"))
-    return ids.join(sizes, "thread_id").select(
-        "thread_id", F.col("snapshot_id").isNotNull().alias("has_id"), F.length("snapshot_id").alias("id_length"), "rows"
-    )
+    return ledger.snapshot_ids(rows, titles)
 
 
 @query("analysis_key", """SELECT o_orderkey, sha256(concat('["', o_custkey, '","alibaba","https://api.example.com/v1","model-', o_orderkey % 3, '","',
