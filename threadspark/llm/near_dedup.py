@@ -2,9 +2,10 @@
 
 1. Every text becomes its set of three-word shingles (64-bit hashes) and a signature of ``COORDINATES`` minima; equal sets
    collapse to one class, named by its smallest doc_id, before anything is joined.
-2. Classes are posted under their (coordinate, value) pairs. Two classes with at least ``MATCHES`` equal coordinates share
-   one of their rarest ``COORDINATES - MATCHES + 1`` pairs, in the order of global frequency, so only this prefix is posted;
-   pairs that one class alone has are posted nowhere. At the threshold similarity a link is missed with a chance below 1e-4.
+2. Classes are posted under their (coordinate, value) pairs. Two classes with at least m equal coordinates share one of
+   their rarest ``COORDINATES - m + 1`` pairs, in the order of global frequency, so only this prefix is posted; pairs that
+   one class alone has are posted nowhere. m follows from the threshold, so that a link right at it is missed with a chance
+   of at most ``MISSED`` (and one clearly above it hardly ever).
 3. The members of a posting list form no pairs. Each list names a leader, the member whose pairs are most frequent, and the
    stars of one leader are gathered. Jaccard distance is a metric, so two members can only be linked if their distances to
    the leader differ by at most 1 - threshold: members are dealt into rings of that width, members that are linked to the
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from threadspark.llm.common import mixed, packed, stored, table, texts_of
 
-WORDS, THRESHOLD, COORDINATES, MATCHES = 3, 85, 48, 30
+WORDS, THRESHOLD, COORDINATES, MISSED = 3, 85, 48, 1e-4
 STAR, LEFT, RIGHT, GROUP = 512, 256, 1_024, 500
 _CELLS = 32_000_000
 
@@ -67,6 +68,16 @@ def signature(hashes: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
     return (np.arange(coordinates, dtype=np.int64) << 32) | (least >> np.uint64(32)).astype(np.int64)
 
 
+def least_matches(coordinates: int, threshold: int, missed: float = MISSED) -> int:
+    """The largest match threshold that a pair of ``threshold`` percent similarity misses with at most this chance."""
+    share, below = threshold / 100, 0.0
+    for m in range(coordinates):
+        below += math.comb(coordinates, m) * share**m * (1 - share) ** (coordinates - m)
+        if below > missed:
+            return max(1, m)
+    return coordinates
+
+
 def signatures(docs: DataFrame, words: int, coordinates: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set, and its coordinate-value pairs (null for the empty set)."""
 
@@ -252,8 +263,9 @@ def components(links: DataFrame) -> DataFrame:
             return labels.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, coordinates: int = COORDINATES) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``; linked at a similarity of ``threshold`` percent."""
+    matches = least_matches(coordinates, threshold)
     signed = stored(signatures(docs, words, coordinates), "signatures")
     compared = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = compared.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("pairs").alias("pairs"))
