@@ -11,6 +11,8 @@ from threadspark.llm.common import salt_of, stored, table
 
 # Near duplicates in the pipeline: five words, a similarity of 0.8 or more.
 NEAR_WORDS, NEAR_THRESHOLD = 5, 80
+# Names of working columns that no input has.
+OWN = ("_pipeline_first", "_pipeline_second")
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,13 +21,13 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     model = language_id.fit(docs.where(salt_of("doc_id", 4, 2, inside=False)), ranks)
     if not model.languages:  # nothing to learn from rejects nothing
         return docs
-    found = language_id.predict(docs, model)
-    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    found = language_id.predict(docs, model, OWN)
+    return found.where(F.col(OWN[0]) != language_id.UNKNOWN).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go from all documents but the one of the largest id; n_chars follows the text."""
-    kept = line_dedup.drop_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+    kept = line_dedup.drop_lines(docs, names=OWN).withColumn("n_chars", F.length("text").cast("long"))
     return kept.select(*docs.columns)
 
 

@@ -223,24 +223,24 @@ class Scorer:
         return np.array([self.known[np.fromiter(map(look, words), np.int64, len(words))].sum(axis=0) for words in split])
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score; own columns of these names are replaced."""
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the predicted language and score under ``names``; own columns of these names are replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [field for field in docs.schema.fields if field.name not in ("lang_pred", "score")]
-    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    kept = [field for field in docs.schema.fields if field.name not in names]
+    schema = T.StructType([*kept, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         languages = scorer.model.languages
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            found, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             known = [k for k, text in enumerate(texts) if languages and text and _LETTER.search(text)]
             for part in np.array_split(known, max(1, len(known) // 1_000)) if known else []:
                 for k, values in zip(part, scorer.score([texts[k] for k in part]), strict=True):
                     best = int(np.argmax(values))
-                    names[k], scores[k] = languages[best], 1.0 / np.exp(values - values[best]).sum()
-            arrays = [*(batch.column(k) for k in range(len(kept))), pa.array(names, pa.string()), pa.array(scores)]
+                    found[k], scores[k] = languages[best], 1.0 / np.exp(values - values[best]).sum()
+            arrays = [*(batch.column(k) for k in range(len(kept))), pa.array(found, pa.string()), pa.array(scores)]
             yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
     return docs.select(*(F.col(f"`{field.name}`") for field in kept)).mapInArrow(run, schema)

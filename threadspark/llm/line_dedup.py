@@ -179,16 +179,21 @@ def probe(docs: DataFrame, index: DataFrame, shards: int, min_docs: int = MIN_DO
     )
 
 
-def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with text rid of repeated lines, plus n_lines (before) and n_dropped; null text becomes one empty line."""
+def drop_lines(
+    docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, names: tuple[str, str] = ("n_lines", "n_dropped")
+) -> DataFrame:
+    """``docs`` with text rid of repeated lines, plus the numbers of lines before and dropped; null text becomes one empty line.
+
+    The numbers stand under ``names`` and replace own columns of these names.
+    """
     index, shards = build_index(docs, min_docs, min_chars)
     lost = probe(docs, index, shards, min_docs, min_chars).groupBy("doc_id").agg(F.collect_set(F.struct("first", "second")).alias("lost"))
     lost = lost.select(F.col("doc_id").alias("lost_doc"), "lost.first", "lost.second")
-    kept = [field for field in docs.schema.fields if field.name not in ("n_lines", "n_dropped")]
+    kept = [field for field in docs.schema.fields if field.name not in names]
     joined = docs.join(lost, docs["doc_id"] == lost["lost_doc"], "left").select(
         *(docs[f"`{field.name}`"] for field in kept), lost["first"].alias("lost_first"), lost["second"].alias("lost_second")
     )
-    schema = T.StructType([*kept, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    schema = T.StructType([*kept, *(T.StructField(name, T.LongType()) for name in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
