@@ -17,7 +17,7 @@ MAX_PAYLOAD_BYTES = 2_000_000
 MAX_PAYLOAD_TOKENS = 600_000
 MAX_REPORTED_TOKENS = 10_000_000
 TIMEOUT_MS = {"fast": 180_000, "deep": 600_000}
-READ_LIMITS = {"main_pages": 500, "nested_parents": 5_000, "nested_pages": 500}
+READ_LIMITS = {"main_pages": 500, "nested_pages": 500}
 MAX_PAGE_NUMBER = 1_000_000
 
 # Risk types, thresholds and display labels.

@@ -53,11 +53,10 @@ def canonical_text(value: Column) -> Column:
 
 
 def dedupe_key(value: Column) -> Column:
-    """Key under which near-identical posts of one author compare equal; whole text, first 500 kept."""
+    """Key under which near-identical posts of one author compare equal; it covers the whole text."""
     lowered = F.lower(nfkc(value))
     target = rf"(?:回复|回覆)[{fv.SPACE}]*(?:@[^{fv.SPACE}:：]+|[0-9]+楼)?[{fv.SPACE}]*[:：]?"
-    letters = F.regexp_replace(F.regexp_replace(lowered, target, ""), r"[^\p{L}\p{N}]+", "")
-    return F.substring(letters, 1, 500)
+    return F.regexp_replace(F.regexp_replace(lowered, target, ""), r"[^\p{L}\p{N}]+", "")
 
 
 def repeat_key(value: Column) -> Column:
@@ -292,6 +291,14 @@ def enum_key(value: Column) -> Column:
     return F.regexp_replace(F.lower(trim(nfkc(value))), f"[{fv.SPACE}_/-]+", "")
 
 
+def known_enums(values: Column, aliases: dict[str, list[str]]) -> Column:
+    """For an array of model-written enum values, whether each is known; all are normalised in one step."""
+    words = F.array(*[F.lit(word) for group in aliases.values() for word in group])
+    joined = F.array_join(F.transform(values, lambda v: F.replace(F.coalesce(v, F.lit("")), F.lit("\x01"), F.lit("?"))), "\x01")
+    keys = F.split(F.lower(nfkc(joined)), "\x01", -1)
+    return F.transform(keys, lambda k: F.array_contains(words, F.regexp_replace(trim(k), f"[{fv.SPACE}_/-]+", "")))
+
+
 def enum_alias(value: Column, aliases: dict[str, list[str]]) -> Column:
     """Canonical name of a model-written enum value; null when unknown."""
     key = enum_key(value)

@@ -186,11 +186,12 @@ def monthly_usage(usage: DataFrame) -> DataFrame:
     )
 
 
-def newest_usage(usage: DataFrame, limit: int = fv.MAX_USAGE_ENTRIES) -> DataFrame:
-    """Newest calls after removing repeated attempts; the limit is the ledger's defined size."""
+def newest_usage(usage: DataFrame, limit: int | None = None) -> DataFrame:
+    """Calls without repeated attempts, newest first; ``limit`` keeps the newest so many."""
     ok = valid_usage(F.col("input_tokens"), F.col("output_tokens"), F.col("total_tokens"))
     latest = first_per_key(usage.filter(ok), ["attempt_id"], F.col("called_at"), latest=True)
-    return latest.orderBy(F.desc("called_at"), "attempt_id").limit(limit)
+    ordered = latest.orderBy(F.desc("called_at"), "attempt_id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 # --- decisions and history -------------------------------------------------------------------
@@ -230,10 +231,19 @@ def decision_violations(decisions: DataFrame) -> DataFrame:
     )
 
 
-def record_violations(records: DataFrame, rules: DataFrame, host: str) -> DataFrame:
-    """Adds ``violations`` of a stored decision's shape; rule ids are checked against the library."""
+def _longer(column: str, bound: int | None) -> Column:
+    return F.lit(False) if bound is None else F.size(column) > bound
+
+
+def record_violations(
+    records: DataFrame, rules: DataFrame, host: str, max_reply_ids: int | None = None, max_tags: int | None = None
+) -> DataFrame:
+    """Adds ``violations`` of a stored decision's shape; rule ids are checked against the library.
+
+    Longer lists than the given bounds are violations; without bounds any length is fine.
+    """
     known = rules.select(F.col("rule_id").alias("primary_reason_id"), F.lit(True).alias("_known"))
-    rows = records.join(F.broadcast(known), "primary_reason_id", "left")
+    rows = records.join(known, "primary_reason_id", "left")
     url_thread = thread_id_from_url(F.col("thread_url"), host)
 
     def missing(column, pattern):
@@ -246,10 +256,10 @@ def record_violations(records: DataFrame, rules: DataFrame, host: str) -> DataFr
         (missing("thread_id", "^[0-9]{1,30}$"), "thread_id"),
         (url_thread.isNull(), "thread_url"),
         (F.col("thread_id") != url_thread, "thread_mismatch"),
-        (F.exists("reply_ids", lambda r: ~trim(r).rlike(fv.REPLY_ID)) | (F.size("reply_ids") > 10_000), "reply_ids"),
+        (F.exists("reply_ids", lambda r: ~trim(r).rlike(fv.REPLY_ID)) | _longer("reply_ids", max_reply_ids), "reply_ids"),
         (~F.col("decision").isin(fv.DECISIONS), "decision"),
         (F.col("primary_reason_id").isNotNull() & F.col("_known").isNull(), "primary_reason_id"),
-        (F.exists("internal_tags", lambda t: ~t.isin(tags)) | (F.size("internal_tags") > 16), "internal_tags"),
+        (F.exists("internal_tags", lambda t: ~t.isin(tags)) | _longer("internal_tags", max_tags), "internal_tags"),
         (F.col("reviewed_at").isNull(), "reviewed_at"),
         (missing("analysis_attempt_id", fv.ATTEMPT_ID), "analysis_attempt_id"),
         (missing("snapshot_id", fv.DIGEST), "snapshot_id"),
@@ -281,13 +291,15 @@ def history_violations(history: DataFrame, host: str) -> DataFrame:
     )
 
 
-def storage_budget(entries: DataFrame, key: Column, body: Column, max_bytes: int = fv.MAX_HISTORY_BYTES,
-                   max_entries: int = fv.MAX_HISTORY_ENTRIES) -> DataFrame:
-    """Bytes and entries per ledger (``ledger_id``) and whether the batch fits the budget."""
+def storage_budget(entries: DataFrame, key: Column, body: Column, max_bytes: int | None = None,
+                   max_entries: int | None = None) -> DataFrame:
+    """Bytes and entries per ledger (``ledger_id``) and whether the batch fits the given budget."""
+    within = F.lit(True)
+    if max_entries is not None:
+        within &= F.col("entries") <= max_entries
+    if max_bytes is not None:
+        within &= (F.col("bytes") <= max_bytes) & (F.col("largest") <= max_bytes)
     size = F.octet_length(key) + F.octet_length(body)
     return entries.groupBy("ledger_id").agg(
         F.count("*").alias("entries"), F.sum(size).alias("bytes"), F.max(F.octet_length(body)).cast("bigint").alias("largest")
-    ).withColumn(
-        "accepted",
-        (F.col("entries") <= max_entries) & (F.col("bytes") <= max_bytes) & (F.col("largest") <= max_bytes),
-    )
+    ).withColumn("accepted", within)

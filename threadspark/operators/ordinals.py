@@ -80,3 +80,21 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int,
     """First ``n`` rows per group; Spark limits each map partition to ``n`` before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return df.withColumn(out, rank).filter(F.col(out) <= n)
+
+
+def session_order(replies: DataFrame) -> DataFrame:
+    """Adds ``place`` in the order of a capture session: floor, time, main before nested, id."""
+    order = [F.asc_nulls_last("floor"), F.asc_nulls_last("timestamp_ms"), F.col("is_nested").asc(), F.col("id").asc()]
+    return ordered_number(replies, ["thread_id"], order, "place")
+
+
+def reconciled_order(replies: DataFrame) -> DataFrame:
+    """Adds ``place`` in the order of a reconciled thread: own floor, else the parent's, else last; main first; time; id."""
+    floors = replies.select("thread_id", F.col("id").alias("parent_reply_id"), F.col("floor").alias("parent_floor"))
+    # Only replies that need a parent's floor are joined, so main replies share no key.
+    lacking = F.col("floor").isNull() & F.col("parent_reply_id").isNotNull()
+    lent = replies.filter(lacking).join(floors, ["thread_id", "parent_reply_id"], "left").withColumn("order_floor", F.col("parent_floor"))
+    own = replies.filter(~lacking).withColumn("order_floor", F.col("floor"))
+    rows = own.unionByName(lent.select(*own.columns))
+    order = [F.asc_nulls_last("order_floor"), F.col("is_nested").asc(), F.asc_nulls_last("timestamp_ms"), F.col("id").asc()]
+    return ordered_number(rows, ["thread_id"], order, "place").drop("order_floor")

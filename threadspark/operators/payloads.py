@@ -13,8 +13,6 @@ from threadspark.session import cut_lineage
 from threadspark.rule_library import RULE_LIBRARY, RULES_VERSION
 
 # Threads whose name list fits these bounds carry it inside each row; others use a join.
-NAMES_IN_ROW = 512
-NAME_CHARS_IN_ROW = 16_384
 MARK = "\x00"
 
 
@@ -53,40 +51,25 @@ def author_aliases(replies: DataFrame) -> DataFrame:
 # --- names inside texts ----------------------------------------------------------------------
 
 
-def _mark_with_row_dictionary(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """One pass of a longest-first alternation per thread, all inside the row."""
-    escaped = F.regexp_replace("name", r"([.*+?^${}()|\[\]\\])", r"\\$1")
-    entry = F.struct((-F.length("name")).alias("size"), F.col("name"), F.col("alias"), escaped.alias("escaped"))
-    dictionary = names.groupBy("thread_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    dictionary = dictionary.select(
-        "thread_id",
-        F.array_join(F.transform("entries", lambda e: e["escaped"]), "|").alias("pattern"),
-        F.map_from_entries(F.transform("entries", lambda e: F.struct(e["name"], e["alias"]))).alias("by_name"),
-    )
-    rows = texts.join(dictionary, "thread_id", "left")
-    known = F.col("pattern").isNotNull()
-    pieces = F.when(known, F.split("text", F.col("pattern"), -1)).otherwise(F.array("text"))
-    hits = F.when(known, F.regexp_extract_all("text", F.col("pattern"), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    return rows.select(
-        *texts.columns,
-        F.array_join(pieces, MARK).alias("marked"),
-        F.transform(hits, lambda h: F.try_element_at(F.col("by_name"), h)).alias("aliases"),
-    )
-
-
-def _mark_with_join(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """The same for any number of names: every place and name length is a candidate for an equi-join.
+def mark_names(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """Adds ``marked`` (each known name replaced by NUL) and ``aliases`` (one per NUL, in order).
 
-    Hits of one text are then taken left to right, longest first, skipping overlaps.
+    ``texts`` holds ``thread_id, id, text`` and more; ``names`` holds ``thread_id, name, alias``.  A place in a
+    text is a candidate where the first character and the length of some name of the thread fit; candidates
+    meet the names in an equi-join, for any number of names.  Hits of one text are taken left to right,
+    longest first, skipping overlaps.
     """
-    lengths = names.groupBy("thread_id").agg(F.collect_set(F.length("name")).alias("lengths"))
-    starts = F.sequence(F.lit(1), F.length("text"))
-    places = texts.join(lengths, "thread_id").filter(F.length("text") > 0)
-    candidates = (
-        places.select("thread_id", "id", "text", "lengths", F.explode(starts).alias("start"))
-        .select("thread_id", "id", "text", "start", F.explode("lengths").alias("size"))
-        .filter(F.col("start") + F.col("size") - 1 <= F.length("text"))
-        .select("thread_id", "id", "start", "size", F.substring("text", F.col("start"), F.col("size")).alias("name"))
+    head = F.substring("name", 1, 1)
+    heads = names.filter(F.length("name") > 0).groupBy("thread_id", head.alias("head")).agg(F.collect_set(F.length("name")).alias("lengths"))
+    # At most one entry per character of the thread's names.
+    heads = heads.groupBy("thread_id").agg(F.map_from_entries(F.collect_list(F.struct("head", "lengths"))).alias("heads"))
+    letters = F.split("text", "")
+    places = texts.filter(F.length("text") > 0).join(heads, "thread_id").withColumn("letters", letters)
+    starts = F.filter(F.sequence(F.lit(1), F.size("letters")), lambda k: F.map_contains_key("heads", F.element_at("letters", k)))
+    started = places.select("thread_id", "id", "letters", "heads", F.explode(starts).alias("start"))
+    sized = started.select("thread_id", "id", "letters", "start", F.explode(F.element_at("heads", F.element_at("letters", F.col("start")))).alias("size"))
+    candidates = sized.filter(F.col("start") + F.col("size") - 1 <= F.size("letters")).select(
+        "thread_id", "id", "start", "size", F.array_join(F.slice("letters", F.col("start"), F.col("size")), "").alias("name")
     )
     found = (
         candidates.join(names, ["thread_id", "name"])
@@ -112,54 +95,34 @@ def _mark_with_join(texts: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
-def mark_names(
-    texts: DataFrame, names: DataFrame, max_names: int = NAMES_IN_ROW, max_chars: int = NAME_CHARS_IN_ROW
-) -> DataFrame:
-    """Adds ``marked`` (each known name replaced by NUL) and ``aliases`` (one per NUL, in order).
-
-    ``texts`` holds ``thread_id, id, text`` and more; ``names`` holds ``thread_id, name, alias``.
-    Threads with few names look them up inside the row; the size is checked per thread, and larger
-    threads go through the join.  Both give the same result.
-    """
-    sizes = names.groupBy("thread_id").agg(F.count("*").alias("n"), F.sum(F.length("name")).alias("chars"))
-    large = sizes.filter((F.col("n") > max_names) | (F.col("chars") > max_chars)).select("thread_id")
-    small_part = _mark_with_row_dictionary(
-        texts.join(large, "thread_id", "left_anti"), names.join(large, "thread_id", "left_anti")
-    )
-    large_part = _mark_with_join(
-        texts.join(large, "thread_id", "left_semi"), names.join(large, "thread_id", "left_semi")
-    )
-    return small_part.unionByName(large_part)
-
-
 def _restore(marked: Column, aliases: Column) -> Column:
     pieces = F.split(marked, r"\x00", -1)
     return F.array_join(F.zip_with(pieces, aliases, lambda p, a: F.concat(p, F.coalesce(a, F.lit("")))), "")
 
 
-def redact_names(texts: DataFrame, names: DataFrame, **bounds) -> DataFrame:
+def redact_names(texts: DataFrame, names: DataFrame) -> DataFrame:
     """Adds ``redacted``: personal data, known names and unknown mentions removed from ``text``."""
     safe = F.replace(redact_sensitive(F.col("text")), F.lit(MARK), F.lit(""))
-    marked = mark_names(texts.withColumn("text", safe), names, **bounds)
+    marked = mark_names(texts.withColumn("text", safe), names)
     restored = _restore(redact_unknown_names(F.col("marked")), F.col("aliases"))
     return marked.withColumn("redacted", redact_sensitive(restored)).drop("marked", "aliases", "text")
 
 
-def leak_guard(redacted: DataFrame, names: DataFrame, **bounds) -> DataFrame:
+def leak_guard(redacted: DataFrame, names: DataFrame) -> DataFrame:
     """``thread_id, leaking`` : replies whose redacted text still holds personal data or a name (≥ 2)."""
     worth = names.filter(F.length("name") >= 2).select("thread_id", "name", F.lit("x").alias("alias"))
     checked = mark_names(
-        redacted.select("thread_id", "id", F.col("redacted").alias("text")), worth, **bounds
+        redacted.select("thread_id", "id", F.col("redacted").alias("text")), worth
     )
     bad = contains_sensitive(F.col("text")) | (F.size("aliases") > 0)
     return checked.groupBy("thread_id").agg(F.count_if(bad).alias("leaking"))
 
 
-def redacted_replies(replies: DataFrame, **bounds) -> DataFrame:
+def redacted_replies(replies: DataFrame) -> DataFrame:
     """Replies with ``author_alias`` and ``redacted`` content."""
     names = author_aliases(replies)
     texts = replies.select("thread_id", "id", F.col("content").alias("text"))
-    content = redact_names(texts, names, **bounds)
+    content = redact_names(texts, names)
     alias = names.select("thread_id", F.col("name").alias("_name"), F.col("alias").alias("_alias"))
     with_alias = (
         replies.withColumn("_name", blank_to_null(F.col("author_name")))

@@ -18,10 +18,10 @@ def page_frontier(pages: DataFrame, limit: int = fv.READ_LIMITS["main_pages"]) -
     ).withColumn("truncated", F.col("pages_total") > limit)
 
 
-def missing_pages(pages: DataFrame, limit: int = fv.READ_LIMITS["main_pages"]) -> DataFrame:
-    """``thread_id, page`` that the frontier expects but nobody fetched."""
-    last = F.least("pages_total", F.lit(limit))
-    expected = page_frontier(pages, limit).select("thread_id", F.explode(F.sequence(F.lit(1), last.cast("int"))).alias("page"))
+def missing_pages(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """``thread_id, page`` that the frontier expects but nobody fetched; ``limit`` leaves out pages past it."""
+    last = F.col("pages_total") if limit is None else F.least("pages_total", F.lit(limit))
+    expected = page_frontier(pages).select("thread_id", F.explode(F.sequence(F.lit(1), last.cast("int"))).alias("page"))
     return expected.join(pages.select("thread_id", F.col("page").cast("int").alias("page")), ["thread_id", "page"], "left_anti")
 
 
@@ -76,19 +76,19 @@ def preview_satisfied(parents: DataFrame, previews: DataFrame) -> DataFrame:
 
 def nested_reconcile(
     parents: DataFrame, nested_pages: DataFrame, nested_replies: DataFrame, failed: DataFrame | None = None,
-    limit: int = fv.READ_LIMITS["nested_pages"],
+    limit: int | None = None,
 ) -> DataFrame:
     """State of every parent after its nested pages (``parents`` from ``preview_satisfied``).
 
-    Pages count while they are consecutive from 1 and up to the first known end.  Page rows past the
-    read limit mark the parent truncated, so an ordered pass per parent sees at most ``limit`` rows.
+    Pages count while they are consecutive from 1 and up to the first known end.  With a ``limit``, page
+    rows past it are not read and mark the parent truncated; without one every page counts.
     """
     probes = nested_pages.filter("is_probe").select(*PARENT, F.col("page").alias("probe_page"), "is_empty_sentinel")
     ordered = Window.partitionBy(*PARENT).orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*PARENT).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*PARENT).orderBy("page").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     known_end = ~F.col("has_more") & (F.col("current_page") >= F.col("total_pages"))
-    read = nested_pages.filter(~F.col("is_probe") & F.col("page").between(1, limit)).withColumn("known_end", known_end)
+    read = nested_pages.filter(~F.col("is_probe") & (F.col("page") >= 1) & (F.lit(True) if limit is None else F.col("page") <= limit)).withColumn("known_end", known_end)
     trusted_facts = F.when(F.col("has_trusted_pager"), F.struct("total_num", "total_pages"))
     read = (
         read.withColumn("place", F.count("*").over(ordered))
@@ -153,7 +153,7 @@ def nested_reconcile(
         state.withColumn("terminal_gap", F.when(F.col("reached_end"), gap).otherwise(0))
         .withColumn("gap_verified", F.coalesce(verified, F.lit(False)))
         .withColumn("mismatch_count", F.col("mismatch_count") + uneven.cast("int"))
-        .withColumn("truncated", ~sat & ((~F.col("reached_end") & ~F.col("failed")) | F.coalesce(F.col("pages_expected") > limit, F.lit(False))))
+        .withColumn("truncated", ~sat & ((~F.col("reached_end") & ~F.col("failed")) | (F.lit(False) if limit is None else F.coalesce(F.col("pages_expected") > limit, F.lit(False)))))
         .select(
             *PARENT, "declared_count", "parent_floor", "preview_count", "satisfied", "pages_fetched", "available_count", "distinct_count",
             "unparsed_count", "unknown_count", "duplicate_count", "drift_count", "mismatch_count", "reached_end", "failed", "truncated",

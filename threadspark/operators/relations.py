@@ -98,15 +98,14 @@ def reply_edges(replies: DataFrame) -> DataFrame:
 
 
 def context_replies(
-    replies: DataFrame, selection: DataFrame, radius: int = 1, max_replies: int = 40
+    replies: DataFrame, selection: DataFrame, radius: int = 1, max_replies: int | None = None
 ) -> DataFrame:
     """Selected replies with parents and neighbours, numbered in the order they were added.
 
     ``selection`` holds ``selection_id, thread_id, id, ordinal``.  Neighbours come from exact
-    positions (one equi-join per offset); selected replies are never dropped.
+    positions (one equi-join per offset); selected replies are never dropped.  ``max_replies`` bounds
+    selected and added replies together; without it all are kept.
     """
-    radius = min(3, max(0, radius))
-    max_replies = min(100, max(1, max_replies))
     light = replies.select("thread_id", "id", "pos", "parent_reply_id")
     chosen = selection.join(light, ["thread_id", "id"])
     known = light.select("thread_id", F.col("id").alias("parent_reply_id"))
@@ -131,11 +130,13 @@ def context_replies(
     extra = extra.join(chosen.select(*keys), keys, "left_anti")
     sizes = chosen.groupBy("selection_id", "thread_id").agg(F.count_distinct("id").alias("selected_count"))
     rank = F.row_number().over(Window.partitionBy("selection_id", "thread_id").orderBy("added"))
-    kept = (
-        extra.withColumn("context_no", rank)
-        .filter(F.col("context_no") <= max_replies)
-        .join(sizes, ["selection_id", "thread_id"])
-        .filter(F.col("context_no") <= F.greatest(F.lit(0), F.lit(max_replies) - F.col("selected_count")))
-        .select(*keys, F.lit(False).alias("is_selected"))
-    )
+    kept = extra
+    if max_replies is not None:
+        kept = (
+            extra.withColumn("context_no", rank)
+            .filter(F.col("context_no") <= max_replies)
+            .join(sizes, ["selection_id", "thread_id"])
+            .filter(F.col("context_no") <= F.greatest(F.lit(0), F.lit(max_replies) - F.col("selected_count")))
+        )
+    kept = kept.select(*keys, F.lit(False).alias("is_selected"))
     return chosen.select(*keys, F.lit(True).alias("is_selected")).distinct().unionByName(kept)

@@ -4,10 +4,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadspark import fixed_values as fv
 from threadspark.functions.text import (
-    enum_alias, parse_confidence, parse_number, repeat_key, reply_excerpt, sanitize_prose, trim, truncate_safe,
+    enum_alias, known_enums, parse_confidence, parse_number, repeat_key, reply_excerpt, sanitize_prose, trim, truncate_safe,
 )
 from threadspark.operators.graph import connected_components
-from threadspark.operators.ordinals import first_per_key, top_per_group
+from threadspark.operators.ordinals import first_per_key
 from threadspark.session import cut_lineage
 
 ITEM = "struct<title:string,summary:string,replyIds:array<string>>"
@@ -40,10 +40,14 @@ def result_protocol(json_text: Column) -> Column:
 
 def parse_results(model_results: DataFrame) -> DataFrame:
     """Parses ``attempt_id, thread_id, content, finish_reason``; adds ``doc``, ``protocol``, ``reject_code``
-    and up to three ``issues`` (field path and kind; unknown keys are never echoed)."""
+    and all ``issues`` (field path and kind; unknown keys are never echoed)."""
     rows = model_results.withColumn("json_text", decode_result_json(F.col("content")))
     rows = rows.withColumn("doc", F.from_json("json_text", RESULT)).withColumn("protocol", result_protocol(F.col("json_text")))
     found = F.col("doc.findings")
+    rows = rows.withColumns({
+        "known_types": known_enums(F.col("doc.findings.type"), fv.TYPE_ALIASES),
+        "known_severities": known_enums(F.col("doc.findings.severity"), fv.SEVERITY_ALIASES),
+    })
 
     def issue(test, path, kind):
         return F.when(test, F.concat(path if isinstance(path, Column) else F.lit(path), F.lit("("), F.lit(kind), F.lit(")")))
@@ -53,6 +57,8 @@ def parse_results(model_results: DataFrame) -> DataFrame:
         score, sure = parse_number(f["score"]), parse_confidence(f["confidence"])
         return F.array_compact(
             F.array(
+                issue(~F.get("known_types", i), F.concat(at, F.lit("type")), "enum"),
+                issue(~F.get("known_severities", i), F.concat(at, F.lit("severity")), "enum"),
                 issue(~F.coalesce(score.between(0, 100), F.lit(False)), F.concat(at, F.lit("score")), "number"),
                 issue(F.coalesce(trim(f["summary"]), F.lit("")) == "", F.concat(at, F.lit("summary")), "missing"),
                 issue(~F.coalesce(F.size(f["offendingReplyIds"]).between(1, 100), F.lit(False)), F.concat(at, F.lit("offendingReplyIds")), "length"),
@@ -71,14 +77,14 @@ def parse_results(model_results: DataFrame) -> DataFrame:
         )
     )
     issues = F.concat(top, F.coalesce(F.flatten(F.transform(found, per_finding)), F.array().cast("array<string>")))
-    rows = rows.withColumn("issues", F.slice(F.coalesce(issues, F.array().cast("array<string>")), 1, 3))
+    rows = rows.withColumn("issues", F.coalesce(issues, F.array().cast("array<string>")))
     reject = (
         F.when(F.col("finish_reason") == "length", "truncated_output")
         .when(F.coalesce(trim(F.col("content")), F.lit("")) == "", "empty_content")
         .when(F.col("json_text").isNull(), "not_json")
         .when(F.size("issues") > 0, "schema")
     )
-    return rows.withColumn("reject_code", reject)
+    return rows.withColumn("reject_code", reject).drop("known_types", "known_severities")
 
 
 def candidates(parsed: DataFrame, rules: DataFrame) -> DataFrame:
@@ -102,8 +108,8 @@ def candidates(parsed: DataFrame, rules: DataFrame) -> DataFrame:
         F.coalesce("f.evidence", F.array().cast("array<struct<replyId:string,explanation:string>>")).alias("evidence"),
         F.coalesce("f.uncertainties", F.array().cast("array<string>")).alias("uncertainties"),
     )
-    rows = rows.join(F.broadcast(known), "reason_id", "left").withColumn("known_rule", F.coalesce("known_rule", F.lit(False)))
-    return cut_lineage(rows.filter(F.col("risk_type").isNotNull() & F.col("severity").isNotNull()))
+    rows = rows.join(known, "reason_id", "left").withColumn("known_rule", F.coalesce("known_rule", F.lit(False)))
+    return cut_lineage(rows)
 
 
 def allowlist(listed: DataFrame, wires: DataFrame) -> DataFrame:
@@ -172,30 +178,38 @@ def finding_evidence(cands: DataFrame, members: DataFrame, wires: DataFrame) ->
     return given.unionByName(fallback).join(texts, ["thread_id", "id"])
 
 
-def demote_low_confidence(cands: DataFrame, offending: DataFrame, claimed: DataFrame) -> DataFrame:
-    """Notes for candidates under the confidence gate that still hold a reply nobody claimed; five at most per answer."""
+def demote_low_confidence(cands: DataFrame, offending: DataFrame, claimed: DataFrame, max_notes: int | None = None) -> DataFrame:
+    """Notes for candidates under the confidence gate that still hold a reply nobody claimed; the first ``max_notes`` per answer."""
     open_rows = offending.filter(F.col("confidence") < fv.MIN_CONFIDENCE).join(claimed.select("attempt_id", "id"), ["attempt_id", "id"], "left_anti")
     per = open_rows.groupBy(*CANDIDATE).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda r: r["id"]).alias("reply_ids"))
     first = F.try_element_at("uncertainties", F.lit(1))
     details = F.concat_ws("；", "summary", first)
     rows = cands.join(per, CANDIDATE).withColumn("note", F.coalesce(sanitize_prose(details, 160), F.lit("模型置信度不足，建议人工确认。")))
     order = [F.desc("confidence"), F.desc("score"), F.col("candidate_no")]
-    return top_per_group(rows, ["attempt_id"], order, 5, "note_no").select(
+    numbered = rows.withColumn("note_no", F.row_number().over(Window.partitionBy("attempt_id").orderBy(*order)))
+    kept = numbered if max_notes is None else numbered.filter(F.col("note_no") <= max_notes)
+    return kept.select(
         *CANDIDATE, "note_no", F.lit("needs_human_check").alias("kind"), F.lit(fv.LOW_CONFIDENCE_TITLE).alias("title"), F.col("note").alias("summary"), "reply_ids"
     )
 
 
-def report_notes(parsed: DataFrame, wires: DataFrame) -> DataFrame:
-    """Notes of version 3 answers, five human checks and three others at most, with local reply ids."""
+def report_notes(
+    parsed: DataFrame, wires: DataFrame, max_checks: int | None = None, max_others: int | None = None, max_ids: int | None = None
+) -> DataFrame:
+    """Notes of version 3 answers with local reply ids; the bounds keep the first of each kind and of a note's ids."""
     v3 = parsed.filter(F.col("reject_code").isNull() & (F.col("protocol") == 3))
     rows = v3.select("attempt_id", "thread_id", F.posexplode("doc.report.notes").alias("item_no", "n")).filter(
         F.col("n.kind").isin("needs_human_check", "heated_but_allowed") & F.col("n.title").isNotNull() & F.col("n.summary").isNotNull() & F.col("n.replyIds").isNotNull()
     )
     rows = rows.withColumn("kind", F.col("n.kind"))
-    kept = top_per_group(rows, ["attempt_id", "kind"], [F.col("item_no")], 5, "kind_no").filter(
-        (F.col("kind") == "needs_human_check") | (F.col("kind_no") <= 3)
-    )
-    ids = kept.select("attempt_id", "thread_id", "item_no", F.posexplode(F.slice(F.array_distinct("n.replyIds"), 1, 50)).alias("place", "wire_id"))
+    kept, check = rows, F.col("kind") == "needs_human_check"
+    if max_checks is not None or max_others is not None:
+        kind_no = F.row_number().over(Window.partitionBy("attempt_id", "kind").orderBy("item_no"))
+        bound = F.when(check, F.lit(max_checks)).otherwise(F.lit(max_others))
+        kept = rows.withColumn("kind_no", kind_no).filter(bound.isNull() | (F.col("kind_no") <= bound))
+    listed = F.array_distinct("n.replyIds")
+    listed = listed if max_ids is None else F.slice(listed, 1, max_ids)
+    ids = kept.select("attempt_id", "thread_id", "item_no", F.posexplode(listed).alias("place", "wire_id"))
     local = allowlist(ids, wires).groupBy("attempt_id", "item_no").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda r: r["id"]).alias("reply_ids")
     )
@@ -285,15 +299,18 @@ def group_references(refs: DataFrame) -> DataFrame:
 
 
 def sanitize_result(findings: DataFrame, names: DataFrame) -> DataFrame:
-    """Findings for storage: author names in prose replaced, evidence text and participants left out."""
+    """Findings for storage: author names replaced in summary, rationale and every uncertainty; evidence text and participants left out."""
     from threadspark.operators.payloads import MARK, mark_names
 
+    none = F.array().cast("array<string>")
     texts = findings.select(
         "thread_id", F.concat_ws("/", "attempt_id", "finding_id").alias("id"),
-        F.concat_ws("\x01", "summary", "rationale").alias("text"),
+        F.array_join(F.concat(F.array("summary", "rationale"), F.coalesce("uncertainties", none)), "\x01", "").alias("text"),
     )
     marked = mark_names(texts, names.select("thread_id", "name", F.lit(fv.HIDDEN_NAME).alias("alias")))
     clean = F.split(F.replace("marked", F.lit(MARK), F.lit(fv.HIDDEN_NAME)), "\x01", -1)
-    fixed = marked.select("thread_id", "id", clean[0].alias("summary"), clean[1].alias("rationale"))
-    rows = findings.drop("summary", "rationale").withColumn("id", F.concat_ws("/", "attempt_id", "finding_id"))
+    fixed = marked.select(
+        "thread_id", "id", clean[0].alias("summary"), clean[1].alias("rationale"), F.slice(clean, F.lit(3), F.size(clean)).alias("uncertainties")
+    )
+    rows = findings.drop("summary", "rationale", "uncertainties").withColumn("id", F.concat_ws("/", "attempt_id", "finding_id"))
     return rows.join(fixed, ["thread_id", "id"]).drop("id")

@@ -49,7 +49,7 @@ def raw_pages(t):
     rows = pages.join(sizes, "conv_id")
     posts = F.flatten(F.transform("items", lambda i: i["posts"]))
     first = F.when(F.col("page") == 1, F.element_at(posts, 1))
-    rest = F.when(F.col("page") == 1, F.slice(posts, 2, 100)).otherwise(posts)
+    rest = F.when(F.col("page") == 1, F.slice(posts, F.lit(2), F.size(posts))).otherwise(posts)
     users = F.array(*[F.struct(F.lit("a" + r).alias("id"), F.lit(r).alias("name"), F.lit(f" {r}! ").alias("name_show")) for r in ["user", "assistant"]])
     good = F.to_json(
         F.struct(

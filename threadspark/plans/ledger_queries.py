@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from threadspark import fixed_values as fv
 from threadspark.operators import ledger, merges
 from threadspark.plans.registry import DISCUSSION, query, sql_trim
 from threadspark.sources.rules import rules_table
@@ -291,7 +292,7 @@ def monthly_usage(t):
 @query("newest_usage", """SELECT concat_ws(':', l_orderkey, l_linenumber) AS attempt_id, epoch_us(max(l_shipdate)) // 1000 AS called_ms FROM lineitem
    WHERE l_linenumber % 5 <> 0 GROUP BY 1 ORDER BY max(l_shipdate) DESC, 1 LIMIT 500""")
 def newest_usage(t):
-    return ledger.newest_usage(_usage(t)).select("attempt_id", F.unix_millis("called_at").alias("called_ms"))
+    return ledger.newest_usage(_usage(t), fv.MAX_USAGE_ENTRIES).select("attempt_id", F.unix_millis("called_at").alias("called_ms"))
 
 
 # --- decisions and history -------------------------------------------------------------------
@@ -343,7 +344,7 @@ def validate_records(t):
         bad(6, "R99.01", "R16.06").alias("primary_reason_id"), F.array(F.lit("spam"), bad(7, "rude", "high")).alias("internal_tags"),
         F.col("o_orderdate").alias("reviewed_at"), F.lit("a:1").alias("analysis_attempt_id"), F.sha2(key.cast("string"), 256).alias("snapshot_id"), F.lit(None).cast("string").alias("finding_id"),
     ).withColumn("thread_id", F.when(F.col("t") == "99x", F.concat(F.lit("9"), key)).otherwise(F.col("t")))
-    out = ledger.record_violations(rows, rules_table(t.spark), HOST)
+    out = ledger.record_violations(rows, rules_table(t.spark), HOST, max_reply_ids=10_000, max_tags=16)
     return out.select("o_orderkey", F.array_join(F.transform("violations", lambda v: F.concat(v, F.lit("|"))), "").alias("violations"))
 
 

@@ -92,10 +92,14 @@ def review_overview(t):
 def sanitize_result(t):
     _, wires, cands, _, members = _steps(t)
     found = results.thread_findings(cands, members, results.related_context(cands, members, wires))
-    named = found.withColumn("summary", F.concat("summary", F.lit(" user0 assistant1")))
+    planted = F.lit(" user0 assistant1")
+    named = found.withColumns({
+        "summary": F.concat("summary", planted), "rationale": F.concat(F.lit("user1"), "rationale"),
+        "uncertainties": F.transform("uncertainties", lambda u: F.concat(u, planted)),
+    })
     names = payloads.author_aliases(t.discussion)
     clean = results.sanitize_result(named, names)
-    leak = clean.join(names.select("thread_id", "name"), "thread_id").filter(F.contains("summary", "name")).groupBy("attempt_id").agg(F.count("*").alias("leaking"))
+    leak = clean.join(names.select("thread_id", "name"), "thread_id").filter(F.contains(F.concat_ws(" ", "summary", "rationale", "uncertainties"), F.col("name"))).groupBy("attempt_id").agg(F.count("*").alias("leaking"))
     return clean.groupBy("attempt_id").agg(F.count("*").alias("findings")).join(leak, "attempt_id", "left").withColumn("leaking", F.coalesce("leaking", F.lit(0)))
 
 

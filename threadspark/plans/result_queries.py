@@ -35,6 +35,7 @@ def _answers(t):
     content = (
         F.when(conv % 10 == 7, F.lit("sorry, no"))
         .when(conv % 10 == 8, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+        .when(conv % 20 == 19, F.replace(body, F.lit('"type":"flooding"'), F.lit('"type":"banana"')))
         .when(conv % 10 == 9, F.regexp_replace(body, '"score":"80"', '"score":"800"'))
         .otherwise(body)
     )
@@ -72,7 +73,7 @@ _CHAIN = f"WITH RECURSIVE {DISCUSSION}, {_NAMES}, {_EDGES}, {_UNDIRECTED}, {_COM
 
 
 @query("parse_results", f"""WITH {DISCUSSION}, {_ANSWERS.split(', off AS')[0].split(' off AS')[0].rstrip().rstrip(',')} SELECT attempt_id, CASE k WHEN 6 THEN 'truncated_output' WHEN 7 THEN 'not_json' WHEN 9 THEN 'schema' END AS reject_code,
-   CASE WHEN k = 9 THEN 'findings[0].score(number)' ELSE CASE WHEN k = 7 THEN 'summary(missing)|findings(type)' ELSE '' END END AS issues, CASE WHEN k = 7 THEN 2 ELSE 3 END AS protocol FROM answers""")
+   CASE WHEN CAST(thread_id AS BIGINT) % 20 = 19 THEN 'findings[1].type(enum)' WHEN k = 9 THEN 'findings[0].score(number)' ELSE CASE WHEN k = 7 THEN 'summary(missing)|findings(type)' ELSE '' END END AS issues, CASE WHEN k = 7 THEN 2 ELSE 3 END AS protocol FROM answers""")
 def parse_results(t):
     return results.parse_results(_answers(t)).select("attempt_id", "reject_code", F.array_join("issues", "|").alias("issues"), "protocol")
 

@@ -27,9 +27,9 @@ def canonical_text(t):
 
 
 _DEDUPE_SQL = (
-    "substring(regexp_replace(regexp_replace(lower(nfc_normalize(@)), "
+    "regexp_replace(regexp_replace(lower(nfc_normalize(@)), "
     f"'(?:回复|回覆)[{WS}]*(?:@[^{WS}:：]+|[0-9]+楼)?[{WS}]*[:：]?', '', 'g'), "
-    "'[^\\p{L}\\p{N}]+', '', 'g'), 1, 500)"
+    "'[^\\p{L}\\p{N}]+', '', 'g')"
 )
 
 

@@ -113,8 +113,15 @@ def thread_order(t):
     rows = t.discussion.select(
         "thread_id", "id", F.when(F.col("pos") % 3 > 0, F.col("floor")).alias("floor"), "timestamp_ms", "is_nested"
     )
-    order = [F.asc_nulls_last("floor"), F.asc_nulls_last("timestamp_ms"), F.col("is_nested").asc(), F.col("id").asc()]
-    return ordinals.ordered_number(rows, ["thread_id"], order, "place").select("thread_id", "id", "place")
+    return ordinals.session_order(rows).select("thread_id", "id", "place")
+
+
+@query("reconciled_order", f"""WITH {DISCUSSION}, r AS (SELECT *, CASE WHEN pos % 5 > 0 THEN floor END AS f FROM discussion)
+   SELECT r.thread_id, r.id, row_number() OVER (PARTITION BY r.thread_id ORDER BY coalesce(r.f, p.f) NULLS LAST, r.parent_reply_id IS NOT NULL,
+     r.timestamp_ms NULLS LAST, r.id) AS place FROM r LEFT JOIN r p ON p.thread_id = r.thread_id AND p.id = r.parent_reply_id AND r.parent_reply_id IS NOT NULL""")
+def reconciled_order(t):
+    rows = t.discussion.withColumn("floor", F.when(F.col("pos") % 5 > 0, F.col("floor"))).withColumn("is_nested", F.col("parent_reply_id").isNotNull())
+    return ordinals.reconciled_order(rows).select("thread_id", "id", "place")
 
 
 @query("wire_id", f"""WITH {DISCUSSION} SELECT r.thread_id, r.id, concat('P', r.pos) AS wire_id,
@@ -150,8 +157,8 @@ def lexical_scores(t):
 
 
 _KEY = (
-    "substring(regexp_replace(regexp_replace(lower(nfc_normalize(content)), "
-    f"'(?:回复|回覆)[{WS}]*(?:@[^{WS}:：]+|[0-9]+楼)?[{WS}]*[:：]?', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), 1, 500)"
+    "regexp_replace(regexp_replace(lower(nfc_normalize(content)), "
+    f"'(?:回复|回覆)[{WS}]*(?:@[^{WS}:：]+|[0-9]+楼)?[{WS}]*[:：]?', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 )
 
 

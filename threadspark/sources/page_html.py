@@ -29,6 +29,14 @@ ELEMENTS = (
 COLUMNS = ["page_id", "node_no", "tag", "element_id", "classes", "attributes", "text", "main_no", "reply_no"]
 
 
+# What a text can be part of, by class or tag of the element around it.
+FIELD_KINDS = {
+    "main": set(MAIN_CLASSES), "nested": set(NESTED_CLASSES), "content": {*CONTENT_CLASSES, "lzl_content_main", "j_lzl_content", "lzl_content"},
+    "author": set(AUTHOR_CLASSES), "time": {*TIME_CLASSES, "time"}, "more": set(MORE_CLASSES), "title": {*TITLE_CLASSES, "h1", "title"},
+    "pager": set(PAGER_CLASSES), "top": set(REPLY_TOP_CLASSES),
+}
+
+
 class _Elements(HTMLParser):
     """Elements in document order with their text and the reply containers around them."""
 
@@ -48,7 +56,10 @@ class _Elements(HTMLParser):
         row = {
             "node_no": number, "tag": tag, "element_id": attributes.get("id"), "classes": classes,
             "attributes": attributes, "text": [], "main_no": main, "reply_no": reply,
+            "kinds": {kind for kind, names in FIELD_KINDS.items() if tag in names or any(c in names for c in classes)},
         }
+        if (attributes.get("id") or "").startswith("post_content_"):
+            row["kinds"].add("content")
         self.rows.append(row)
         if tag not in VOID_TAGS:
             self.open.append(row)
@@ -61,9 +72,12 @@ class _Elements(HTMLParser):
     def handle_data(self, data):
         if self.open and self.open[-1]["tag"] in ("script", "style"):
             return
-        # Only elements that a field can be read from keep their text.
-        for row in self.open:
-            if row["classes"] or row["tag"] in ("title", "h1", "a", "time"):
+        # Only elements that a field can be read from keep their text: for each kind of field the innermost
+        # open one, so what a page yields grows with the page however deep its elements are nested.
+        told = set()
+        for row in reversed(self.open):
+            if new := row["kinds"] - told:
+                told |= new
                 row["text"].append(data)
 
 
@@ -153,7 +167,7 @@ def extract_html_threads(elements: DataFrame) -> DataFrame:
     nested = _has(*NESTED_CLASSES)
     own = F.col("node_no") == F.col("reply_no")
     attribute = lambda name: blank_to_null(F.col("attributes").getItem(name))
-    inside = elements.filter(F.col("reply_no").isNotNull())
+    inside = elements.filter(F.col("reply_no").isNotNull()).repartition("page_id", "main_no")
 
     def at(value):
         return F.max(F.when(own, value))
@@ -181,12 +195,13 @@ def extract_html_threads(elements: DataFrame) -> DataFrame:
         _json_text("$.author.user_name", "$.author.user_nickname", "$.author.name", "$.user_name", "$.user_nickname", "$.showname"), F.col("shown_author")
     )
     rows = fields.withColumns({"site_reply_id": site_id, "own_floor": F.when(F.col("is_first_floor"), F.coalesce(floor, F.lit(1))).otherwise(floor), "author_name": author})
-    mains = rows.filter(~F.col("is_nested")).select(
-        "page_id", "main_no", F.col("site_reply_id").alias("main_site_id"), F.col("own_floor").alias("main_floor"),
-    )
-    visible = rows.filter("is_nested").groupBy("page_id", "main_no").agg(F.count("*").alias("visible_nested"))
-    joined = rows.join(mains, ["page_id", "main_no"], "left").join(visible, ["page_id", "main_no"], "left")
     is_nested = F.col("is_nested")
+    # A main reply and the replies under it come from one page and one parse.
+    around = Window.partitionBy("page_id", "main_no")
+    joined = rows.withColumns({
+        "main_site_id": F.max(F.when(~is_nested, F.col("site_reply_id"))).over(around), "main_floor": F.max(F.when(~is_nested, F.col("own_floor"))).over(around),
+        "visible_nested": F.count_if(is_nested).over(around),
+    })
     declared = safe_int(_json_text("$.content.comment_num", "$.content.comment_count", "$.comment_num"))
     hidden = unexpanded_estimate(declared, F.coalesce("visible_nested", F.lit(0)), F.filter("controls", lambda c: c.isNotNull()))
     named_parent = F.coalesce(_json_text("$.reply_to_id", "$.reply_id", "$.parent_id"), F.col("attribute_parent"))

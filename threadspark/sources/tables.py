@@ -4,7 +4,6 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-TEXT_TABLES = ("documents", "pages")
 FIRST_POST_MS = 1_704_067_200_000
 
 
@@ -17,9 +16,6 @@ class Tables:
 
     def read(self, name: str) -> DataFrame:
         table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        if name in TEXT_TABLES and len(table.inputFiles()) < self.spark.sparkContext.defaultParallelism:
-            # Long texts in fewer files than cores: spread them, since one row group is one task.
-            table = table.repartition(self.spark.sparkContext.defaultParallelism)
         zoneless = [c for c, kind in table.dtypes if kind == "timestamp_ntz"]
         return table.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
 
