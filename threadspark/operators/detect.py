@@ -25,15 +25,18 @@ def lexical_scores(replies: DataFrame, lexicon=None) -> DataFrame:
     lexicon = fv.LEXICON if lexicon is None else lexicon
     explicit = F.col("parent_reply_id").isNotNull() | F.col("content").rlike(fv.EXPLICIT_TARGET)
     columns = {}
+    # Every pattern runs once per text; scores and labels read its answer.
+    replies = replies.withColumn("_hits", F.array(*[F.col("content").rlike("(?iu)" + p) for _, p, _, _ in lexicon], explicit))
+    explicit = F.get("_hits", F.lit(len(lexicon)))
     for risk in dict.fromkeys(kind for kind, *_ in lexicon):
-        hits = [(F.col("content").rlike("(?iu)" + p), label, score) for kind, p, label, score in lexicon if kind == risk]
+        hits = [(F.get("_hits", F.lit(k)), label, score) for k, (kind, _, label, score) in enumerate(lexicon) if kind == risk]
         total = sum((F.when(hit, F.lit(score)).otherwise(F.lit(0)) for hit, _, score in hits), F.lit(0))
         bonus = F.when((total > 0) & explicit, F.lit(fv.EXPLICIT_TARGET_BONUS)).otherwise(F.lit(0))
         labels = [F.when(hit, F.lit(label)) for hit, label, _ in hits]
         labels.append(F.when((total > 0) & explicit, F.lit(fv.EXPLICIT_TARGET_LABEL)))
         columns[f"score_{risk}"] = F.least(F.lit(100), total + bonus)
         columns[f"labels_{risk}"] = F.array_distinct(F.array_compact(F.array(*labels)))
-    return replies.withColumns(columns)
+    return replies.withColumns(columns).drop("_hits")
 
 
 def duplicate_counts(posts: DataFrame) -> DataFrame:

@@ -23,7 +23,10 @@ def wire_ids(replies: DataFrame) -> DataFrame:
     parents = numbered.select(
         "thread_id", F.col("id").alias("parent_reply_id"), F.col("wire_id").alias("parent_wire_id")
     )
-    return numbered.join(parents, ["thread_id", "parent_reply_id"], "left")
+    # Main replies have no parent: they share no join key, so they stay out of the join.
+    has_parent = F.col("parent_reply_id").isNotNull()
+    answers = numbered.filter(has_parent).join(parents, ["thread_id", "parent_reply_id"], "left")
+    return answers.unionByName(numbered.filter(~has_parent), allowMissingColumns=True)
 
 
 def minute_offset(replies: DataFrame) -> DataFrame:

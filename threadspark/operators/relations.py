@@ -16,7 +16,10 @@ def resolve_parent(replies: DataFrame) -> DataFrame:
         blank_to_null(F.col("author_name")).alias("parent_author"),
         F.col("pos").alias("parent_pos"),
     )
-    return replies.join(parents, ["thread_id", "parent_reply_id"], "left")
+    # Main replies have no parent: they share no join key, so they stay out of the join.
+    has_parent = F.col("parent_reply_id").isNotNull()
+    answers = replies.filter(has_parent).join(parents, ["thread_id", "parent_reply_id"], "left")
+    return answers.unionByName(replies.filter(~has_parent), allowMissingColumns=True)
 
 
 def resolve_targets(replies: DataFrame) -> DataFrame:

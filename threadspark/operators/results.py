@@ -219,6 +219,58 @@ def report_notes(
     )
 
 
+def report_overview(parsed: DataFrame) -> DataFrame:
+    """``attempt_id, overview`` of version 3 answers."""
+    v3 = parsed.filter(F.col("reject_code").isNull() & (F.col("protocol") == 3))
+    return v3.select("attempt_id", sanitize_prose(F.col("doc.report.overview"), 180, 2).alias("overview"))
+
+
+def report_items(parsed: DataFrame, wires: DataFrame, max_items: dict[str, int] | None = None, max_ids: int | None = None) -> DataFrame:
+    """Stages and interactions of version 3 answers: ``attempt_id, section, item_no, title, summary, reply_ids``.
+
+    Items without title, summary or list of ids are left out.  ``max_items`` keeps the first of a section.
+    """
+    v3 = parsed.filter(F.col("reject_code").isNull() & (F.col("protocol") == 3))
+    sections = F.array(*[F.struct(F.lit(s).alias("section"), F.col(f"doc.report.{s}").alias("items")) for s in ("stages", "interactions")])
+    rows = v3.select("attempt_id", "thread_id", F.explode(sections).alias("s")).select("attempt_id", "thread_id", "s.section", F.posexplode("s.items").alias("item_no", "n"))
+    rows = rows.filter(F.col("n.title").isNotNull() & F.col("n.summary").isNotNull() & F.col("n.replyIds").isNotNull())
+    if max_items is not None:
+        bound = F.lit(None).cast("int")
+        for section, count in max_items.items():
+            bound = F.when(F.col("section") == section, F.lit(count)).otherwise(bound)
+        place = F.row_number().over(Window.partitionBy("attempt_id", "section").orderBy("item_no"))
+        rows = rows.withColumn("_place", place).filter(bound.isNull() | (F.col("_place") <= bound)).drop("_place")
+    listed = F.array_distinct("n.replyIds") if max_ids is None else F.array_distinct(F.slice("n.replyIds", 1, max_ids))
+    keys = ["attempt_id", "section", "item_no"]
+    local = allowlist(rows.select(*keys, "thread_id", F.posexplode(listed).alias("place", "wire_id")), wires).groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda r: r["id"]).alias("reply_ids")
+    )
+    return rows.join(local, keys, "left").select(
+        *keys, sanitize_prose(F.col("n.title"), 32).alias("title"), sanitize_prose(F.col("n.summary"), 160).alias("summary"),
+        F.coalesce("reply_ids", F.array().cast("array<string>")).alias("reply_ids"),
+    )
+
+
+def merged_notes(reported: DataFrame, demoted: DataFrame, max_checks: int | None = None) -> DataFrame:
+    """The model's own notes, then those of demoted candidates, in one numbering per answer.
+
+    With ``max_checks`` demoted notes only fill up the human checks to that number; the model's own stay.
+    """
+    own = reported.select("attempt_id", F.struct(F.lit(0).alias("source"), F.col("item_no").alias("no")).alias("place"), "kind", "title", "summary", "reply_ids")
+    added = demoted.select("attempt_id", F.struct(F.lit(1).alias("source"), F.col("note_no").alias("no")).alias("place"), "kind", "title", "summary", "reply_ids")
+    rows = own.unionByName(added)
+    if max_checks is not None:
+        check = F.col("kind") == "needs_human_check"
+        checks = F.count_if(check).over(Window.partitionBy("attempt_id").orderBy("place"))
+        rows = rows.withColumn("_checks", checks).filter((F.col("place.source") == 0) | (F.col("_checks") <= max_checks)).drop("_checks")
+    return rows.withColumn("note_no", F.row_number().over(Window.partitionBy("attempt_id").orderBy("place"))).drop("place")
+
+
+def projected_uncertainties(notes: DataFrame) -> DataFrame:
+    """Human checks as uncertainties of the whole answer: ``attempt_id, note_no, text, reply_ids``."""
+    return notes.filter(F.col("kind") == "needs_human_check").select("attempt_id", "note_no", F.col("summary").alias("text"), "reply_ids")
+
+
 def thread_findings(cands: DataFrame, members: DataFrame, context: DataFrame) -> DataFrame:
     """Final findings: one per group, with rewritten texts when a candidate was split."""
     groups = members.groupBy(*CANDIDATE, "thread_id", "group_no").agg(

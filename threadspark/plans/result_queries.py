@@ -26,10 +26,17 @@ def _answers(t):
         finding("other", "medium", "50", "0.5", F.when(conv % 3 == 0, "R99.01").otherwise("R16.06"), ["P1", "P4"], [], ["P4"]),
     )
     note = F.struct(F.lit("needs_human_check").alias("kind"), F.lit("看").alias("title"), F.lit("看 P2").alias("summary"), F.array(F.lit("P2"), F.lit("p3")).alias("replyIds"))
+    stages = [
+        F.struct(F.lit(f"阶段{n}").alias("title"), F.lit(f"P{n} 发言").alias("summary"), F.array(*[F.lit(x) for x in ids]).alias("replyIds"))
+        for n, ids in ((1, ["P2", "P1", "P2"]), (2, ["P9999", "p1"]), (3, ["P3"]))
+    ]
     body = F.to_json(
         F.struct(
             F.lit("第一句。第二句。第三句。").alias("summary"), findings.alias("findings"),
-            F.struct(F.lit("概览").alias("overview"), F.array(note, note).alias("notes")).alias("report"),
+            F.struct(
+                F.concat(F.lit("概览 P"), "thread_id", F.lit("。第二句。第三句。")).alias("overview"), F.array(*stages).alias("stages"),
+                F.array(stages[0].withField("title", F.concat(F.lit("互动"), "thread_id"))).alias("interactions"), F.array(note, note).alias("notes"),
+            ).alias("report"),
         )
     )
     content = (
@@ -129,6 +136,31 @@ def report_notes(t):
     return rows.select("attempt_id", "item_no", "kind", "summary", F.array_join("reply_ids", ",").alias("reply_ids"))
 
 
+@query("report_overview", f"""WITH {DISCUSSION}, {_ANSWERS.split(" off AS")[0].rstrip().rstrip(",")} SELECT attempt_id, '概览 相关回复。第二句。' AS overview FROM good""")
+def report_overview(t):
+    return results.report_overview(results.parse_results(_answers(t)))
+
+
+@query("report_items", f"""WITH {DISCUSSION}, {_ANSWERS.split(" off AS")[0].rstrip().rstrip(",")}, v(section, item_no, title, ids) AS (VALUES ('stages', 0, '阶段1', [2, 1]), ('stages', 1, '阶段2', []::INT[]), ('interactions', 0, NULL, [2, 1])),
+   u AS (SELECT g.attempt_id, g.thread_id, v.section, v.item_no, coalesce(v.title, concat('互动', g.thread_id)) AS title, unnest(v.ids) AS p, unnest(range(1, len(v.ids) + 1)) AS k FROM good g CROSS JOIN v)
+   SELECT g.attempt_id, v.section, v.item_no, coalesce(v.title, concat('互动', g.thread_id)) AS title, '相关回复 发言' AS summary,
+     coalesce((SELECT string_agg(d.id, ',' ORDER BY u.k) FROM u JOIN discussion d ON d.thread_id = u.thread_id AND d.pos = u.p WHERE u.attempt_id = g.attempt_id AND u.section = v.section AND u.item_no = v.item_no), '') AS reply_ids
+   FROM good g CROSS JOIN v""")
+def report_items(t):
+    parsed = cut_lineage(results.parse_results(_answers(t)))
+    rows = results.report_items(parsed, _wires(t), max_items={"stages": 2, "interactions": 5}, max_ids=50)
+    return rows.withColumn("reply_ids", F.array_join("reply_ids", ","))
+
+
+@query("projected_uncertainties", f"""{_CHAIN}, low AS (SELECT o.attempt_id, string_agg(o.id, ',' ORDER BY place) AS reply_ids FROM off o WHERE conf < 0.7 AND (o.attempt_id, o.id) NOT IN (SELECT (attempt_id, id) FROM claimed) GROUP BY 1)
+   SELECT g.attempt_id, CAST(n + 1 AS INTEGER) AS note_no, '看 相关回复' AS text, coalesce(d.id, '') AS reply_ids FROM good g CROSS JOIN (VALUES (0), (1)) v(n) LEFT JOIN discussion d ON d.thread_id = g.thread_id AND d.pos = 2
+   UNION ALL SELECT attempt_id, 3, '相关回复 在吵架。；不确定', reply_ids FROM low""")
+def projected_uncertainties(t):
+    parsed, wires, cands, offending, members = _steps(t)
+    notes = results.merged_notes(results.report_notes(parsed, wires, 5, 3, 50), results.demote_low_confidence(cands, offending, members), max_checks=5)
+    return results.projected_uncertainties(notes).withColumn("reply_ids", F.array_join("reply_ids", ","))
+
+
 @query("override_summary", f"""{_CHAIN}, n AS (SELECT attempt_id, count(DISTINCT (candidate_no, group_no)) AS kept FROM groups GROUP BY 1)
    SELECT g.attempt_id, CASE WHEN kept > 0 THEN concat('模型候选经回复关系与协议校验后整理为 ', kept, ' 组，以下方线索卡和原文复核为准。') ELSE '模型候选经回复关系与协议校验后，未保留达到门槛的违规线索；以审阅报告和人工复核为准。' END AS summary FROM good g LEFT JOIN n USING (attempt_id)""")
 def override_summary(t):
