@@ -79,9 +79,9 @@ def shingles(text, size=3):
     return frozenset(tuple(words[k : k + size]) for k in range(len(words) - size + 1))
 
 
-def near_components(texts, threshold=85):
+def near_components(texts, threshold=85, size=3):
     """Smallest reachable id by exact similarity of all pairs; texts: id -> text."""
-    sets, parent = {k: shingles(t) for k, t in texts.items()}, {k: k for k in texts}
+    sets, parent = {k: shingles(t, size) for k, t in texts.items()}, {k: k for k in texts}
 
     def root(x):
         while parent[x] != x:
