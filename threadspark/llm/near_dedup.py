@@ -36,6 +36,7 @@ from threadspark.llm.common import mixed, packed, stored, table, texts_of
 
 WORDS, THRESHOLD, COORDINATES, MISSED = 3, 85, 48, 1e-4
 STAR, LEFT, RIGHT, GROUP = 512, 256, 1_024, 500
+FILTER_BITS = 2**23  # of the bitmap that tells which texts are needed: 1 MB
 _CELLS = 32_000_000
 
 
@@ -115,18 +116,33 @@ def stars(postings: DataFrame) -> DataFrame:
     return met.where(F.col("leader") != F.col("member")).distinct()
 
 
+def member_filter(members: DataFrame, bits: int = FILTER_BITS) -> bytes:
+    """A bitmap of hashed ids of at most ``bits`` bits, whatever the number of members; it passes too much, never too little."""
+    value = F.pmod(F.xxhash64("rep"), F.lit(bits)) + 1
+    maps = members.groupBy(F.bitmap_bucket_number(value).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(value)).alias("map"))
+    whole = bytearray(bits // 8)
+    for k, part in maps.toLocalIterator():  # one row per 32,768 bits
+        whole[(k - 1) * 4_096 : k * 4_096] = part
+    return bytes(whole)
+
+
 def full_sets(docs: DataFrame, members: DataFrame, words: int, coordinates: int) -> DataFrame:
-    """Shingle set and signature of the documents in ``members`` (column rep)."""
+    """Shingle set and signature of the documents in ``members`` (column rep). Texts stay where they are read."""
+    sent = docs.sparkSession.sparkContext.broadcast(member_filter(members))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = np.unpackbits(np.frombuffer(sent.value, np.uint8), bitorder="little").astype(bool)
         for batch in batches:
+            batch = batch.filter(pa.array(passes[batch.column("place").to_numpy()]))
             sets = [shingles(text, words) for text in texts_of(batch)]
-            marks = [packed(signature(s, coordinates), "<u4") if len(s) else b"" for s in sets]  # low halves: the values
-            arrays = [batch.column("doc_id"), pa.array([packed(s, "<u8") for s in sets], pa.binary()), pa.array(marks, pa.binary())]
+            marks = [packed(signature(s, coordinates), "<u4") if len(s) else b"" for s in sets]
+            arrays = [batch.column("rep"), pa.array([packed(s, "<u8") for s in sets], pa.binary()), pa.array(marks, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["rep", "hashes", "marks"])
 
-    wanted = docs.select(F.col("doc_id").cast("long"), "text").join(members.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-    return wanted.dropDuplicates(["doc_id"]).mapInArrow(run, "rep long, hashes binary, marks binary")
+    read = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("rep"), "text")
+    read = read.withColumn("place", F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)))
+    made = read.mapInArrow(run, "rep long, hashes binary, marks binary")
+    return made.join(members, "rep", "left_semi").dropDuplicates(["rep"])
 
 
 def _rows(frame: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -161,19 +177,13 @@ def _fold(column: str, total: str, size: int):
     return F.pmod(F.xxhash64(column), F.ceil(F.col(total) / size))
 
 
-def _both(left: DataFrame, right: DataFrame, run, schema: str) -> DataFrame:
-    right = right.toDF(*right.columns)  # both sides stem from one table: columns of the right one get identities of their own
-    return left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInPandas(run, schema)
-
-
 def star_distances(pairs: DataFrame, sets: DataFrame, threshold: int, matches: int, groups: int) -> DataFrame:
     """leader, member, distance and linked of every star pair; many small stars share a task, large ones are cut."""
 
-    def run(members: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
-        known, out = {}, []
-        heads, head_sets, head_marks = _rows(leaders)
-        for k, head in enumerate(heads.tolist()):
-            known[head] = k
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        members, out = rows[rows["leader"].notna()], []
+        heads, head_sets, head_marks = _rows(rows[rows["leader"].isna()])
+        known = {head: k for k, head in enumerate(heads.tolist())}
         ids, sets, marks = _rows(members)
         owners = members["leader"].to_numpy(np.int64)
         for head in np.unique(owners).tolist():
@@ -188,21 +198,20 @@ def star_distances(pairs: DataFrame, sets: DataFrame, threshold: int, matches: i
     sized = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
     dealt = pairs.join(sized, "leader").withColumn("fold", _fold("member", "n", STAR))
     dealt = dealt.select("leader", "member", F.pmod(F.xxhash64("leader", "fold"), F.lit(groups)).alias("bucket"))
-    left = dealt.join(sets, dealt["member"] == sets["rep"]).select("bucket", "leader", "rep", "hashes", "marks")
-    right = dealt.select("bucket", F.col("leader").alias("rep")).distinct().join(sets, "rep").select("bucket", "rep", "hashes", "marks")
-    return _both(left, right, run, "leader long, member long, distance double, linked boolean")
+    heads = dealt.select("bucket", F.lit(None).cast("long").alias("leader"), F.col("leader").alias("rep")).distinct()
+    placed = dealt.select("bucket", "leader", F.col("member").alias("rep")).unionByName(heads).join(sets, "rep")
+    return placed.groupBy("bucket").applyInPandas(run, "leader long, member long, distance double, linked boolean")
 
 
 def ring_links(star: DataFrame, sets: DataFrame, threshold: int, matches: int, groups: int) -> DataFrame:
     """Links between members of one star that the leader does not join."""
     width = (100 - threshold) / 100 + 1e-4
 
-    def run(outer: pd.DataFrame, inner: pd.DataFrame) -> pd.DataFrame:
+    def run(bucket: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
-        names = inner["block"].to_numpy() if len(inner) else np.zeros(0, dtype=object)
-        for block, rows in outer.groupby("block") if len(outer) and len(inner) else ():
-            xs, left, left_marks = _rows(rows)
-            ys, right, right_marks = _rows(inner[names == block])
+        for _, rows in bucket.groupby("block"):
+            xs, left, left_marks = _rows(rows[rows["outer"]])
+            ys, right, right_marks = _rows(rows[~rows["outer"]])
             parent: dict[int, int] = {}
 
             def root(x: int) -> int:
@@ -235,11 +244,11 @@ def ring_links(star: DataFrame, sets: DataFrame, threshold: int, matches: int, g
         dealt = side.join(size, ["leader", "ring"]).select("leader", "ring", "member", i.alias("own"), j.alias("other"))
         at = ("own", "other") if own == "lefts" else ("other", "own")
         block = F.concat_ws("/", "leader", "ring", *at)
-        named = dealt.select("member", block.alias("block"), F.pmod(F.xxhash64(block), F.lit(groups)).alias("bucket"))
-        return named.join(sets, named["member"] == sets["rep"]).select("bucket", "block", "rep", "hashes", "marks")
+        bucket = F.pmod(F.xxhash64(block), F.lit(groups))
+        return dealt.select(bucket.alias("bucket"), block.alias("block"), F.lit(own == "lefts").alias("outer"), F.col("member").alias("rep"))
 
-    left, right = blocks(outer, "lefts", "rights"), blocks(inner, "rights", "lefts")
-    return _both(left, right, run, "leader long, member long")
+    placed = blocks(outer, "lefts", "rights").unionByName(blocks(inner, "rights", "lefts")).join(sets, "rep")
+    return placed.groupBy("bucket").applyInPandas(run, "leader long, member long")
 
 
 def components(links: DataFrame) -> DataFrame:
