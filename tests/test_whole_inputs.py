@@ -73,3 +73,22 @@ def test_a_page_is_parsed_once_and_yields_text_once_per_kind(spark):
     assert threads.first()["content"].startswith("word word") and threads.first()["floor"] == 3
     plan = threads._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInPandas") == 1
+
+
+def test_finding_payload_hides_names_outside_the_selection(make_replies):
+    rows = make_replies(("小明", "我是小明"), ("阿三", "小明和阿三，还有远方"), ("远方", "x"), ("甲", "y"))
+    chosen = rows.filter("pos = 1").select(F.lit("s").alias("selection_id"), "thread_id", "id", F.col("pos").alias("ordinal"))
+    found = {r["id"]: (r["author_alias"], r["redacted"]) for r in payloads.build_finding_payloads(rows, chosen, radius=1).collect()}
+    assert found == {"r1": ("U1", "我是U1"), "r2": ("U2", f"U1和U2，还有{fv.NAME_PLACEHOLDER}")}
+
+
+def test_reported_usage_takes_either_field_set(spark):
+    bodies = [
+        '{"prompt_tokens":3,"completion_tokens":4,"total_tokens":7}', '{"input_tokens":3,"output_tokens":4}', '{"input_tokens":3,"output_tokens":4,"total_tokens":8}',
+        '{"input_tokens":"3","output_tokens":4}', '{"input_tokens":-1,"output_tokens":4}', '{"prompt_tokens":1.5,"completion_tokens":4}', "[]", "no", None,
+    ]
+    from threadspark.operators import ledger
+
+    frame = spark.createDataFrame([(k, b) for k, b in enumerate(bodies)], "k int, b string")
+    found = [r["u"] for r in frame.select("k", ledger.reported_usage(F.col("b")).alias("u")).orderBy("k").collect()]
+    assert [u and (u["input_tokens"], u["output_tokens"], u["total_tokens"]) for u in found] == [(3, 4, 7), (3, 4, 7)] + [None] * 7

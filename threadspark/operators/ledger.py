@@ -176,6 +176,22 @@ def valid_usage(input_tokens: Column, output_tokens: Column, total_tokens: Colum
     return F.coalesce((total <= fv.MAX_REPORTED_TOKENS) & reported, F.lit(False))
 
 
+def reported_usage(usage_json: Column) -> Column:
+    """Token counts of a provider's usage object under either set of field names; null unless they are whole and add up."""
+    def count(*names):
+        found = F.coalesce(*[F.try_variant_get(F.try_parse_json(usage_json), f"$.{name}", "variant") for name in names])
+        whole = F.schema_of_variant(found) == "BIGINT"
+        return F.when(whole, F.try_variant_get(found, "$", "bigint"))
+
+    def given(name):
+        return F.get_json_object(usage_json, f"$.{name}")
+
+    sent, received = count("prompt_tokens", "input_tokens"), count("completion_tokens", "output_tokens")
+    total = F.when(given("total_tokens").isNotNull(), F.coalesce(count("total_tokens"), F.lit(-1)))
+    counts = F.struct(sent.alias("input_tokens"), received.alias("output_tokens"), (sent + received).alias("total_tokens"))
+    return F.when(valid_usage(sent, received, total), counts)
+
+
 def monthly_usage(usage: DataFrame) -> DataFrame:
     ok = valid_usage(F.col("input_tokens"), F.col("output_tokens"), F.col("total_tokens"))
     return (

@@ -237,10 +237,23 @@ def allowed_reasons(candidates: DataFrame, rules: DataFrame) -> DataFrame:
     """Candidate reasons (``selection_id, reason_id, rank``) that exist in the library, first one kept."""
     first = candidates.groupBy("selection_id", "reason_id").agg(F.min("rank").alias("rank"))
     known = rules.select(F.col("rule_id").alias("reason_id"), F.col("text").alias("reason_text"))
-    return first.join(F.broadcast(known), "reason_id")
+    return first.join(known, "reason_id")
 
 
-def build_finding_payloads(replies: DataFrame, selection: DataFrame, radius: int = 1, max_replies: int = 40) -> DataFrame:
+def finding_requests(payload_rows: DataFrame, reasons: DataFrame) -> DataFrame:
+    """One row per selected finding: its reply count and its allowed reasons, best first.
+
+    ``reasons`` comes from ``allowed_reasons``; a finding has as many as its own candidates.
+    """
+    listed = reasons.groupBy("selection_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", F.col("reason_id").alias("id"), F.col("reason_text").alias("text")))).alias("allowed_reasons")
+    )
+    sizes = payload_rows.groupBy("selection_id", "thread_id").agg(F.count("*").alias("reply_count"))
+    none = F.array().cast(listed.schema["allowed_reasons"].dataType)
+    return sizes.join(listed, "selection_id", "left").withColumn("allowed_reasons", F.coalesce("allowed_reasons", none))
+
+
+def build_finding_payloads(replies: DataFrame, selection: DataFrame, radius: int = 1, max_replies: int | None = None) -> DataFrame:
     """Redacted replies sent for one selected finding: the selection and its bounded context.
 
     Aliases count authors inside the payload; names seen elsewhere in the thread are removed as well.
@@ -249,14 +262,16 @@ def build_finding_payloads(replies: DataFrame, selection: DataFrame, radius: int
     rows = chosen.join(replies, ["thread_id", "id"])
     scoped = rows.withColumn("_scope", F.col("thread_id")).withColumn("thread_id", F.concat_ws("/", "selection_id", "thread_id"))
     own = author_aliases(scoped)
-    everyone = (
-        chosen.select("selection_id", "thread_id").distinct()
-        .join(replies.select("thread_id", blank_to_null(F.col("author_name")).alias("name")).distinct(), "thread_id")
-        .filter(F.col("name").isNotNull())
-        .select(F.concat_ws("/", "selection_id", "thread_id").alias("thread_id"), "name")
-    )
-    names = everyone.join(own, ["thread_id", "name"], "left").withColumn("alias", F.coalesce("alias", F.lit(fv.NAME_PLACEHOLDER)))
-    content = redact_names(scoped.select("thread_id", "id", F.col("content").alias("text")), names)
+    # Names stay keyed by thread; each selection only brings the aliases of its own authors.
+    known = replies.select("thread_id", blank_to_null(F.col("author_name")).alias("name")).filter(F.col("name").isNotNull()).distinct()
+    safe = F.replace(redact_sensitive(F.col("content")), F.lit(MARK), F.lit(""))
+    texts = scoped.select(F.col("_scope").alias("thread_id"), F.struct(F.col("thread_id").alias("scope"), "id").alias("id"), safe.alias("text"))
+    marked = mark_names(texts, known.withColumn("alias", F.col("name")))
+    mapped = own.groupBy("thread_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "alias"))).alias("by_name"))
+    marked = marked.select(F.col("id.scope").alias("thread_id"), F.col("id.id").alias("id"), "marked", "aliases").join(mapped, "thread_id", "left")
+    aliases = F.transform("aliases", lambda name: F.coalesce(F.try_element_at("by_name", name), F.lit(fv.NAME_PLACEHOLDER)))
+    restored = _restore(redact_unknown_names(F.col("marked")), aliases)
+    content = marked.select("thread_id", "id", redact_sensitive(restored).alias("redacted"))
     alias = own.select("thread_id", F.col("name").alias("_name"), F.col("alias").alias("_alias"))
     return (
         scoped.withColumn("_name", blank_to_null(F.col("author_name")))

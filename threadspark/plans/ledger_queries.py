@@ -282,6 +282,20 @@ def _usage(t):
     )
 
 
+@query("reported_usage", """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 5 NOT IN (0, 4) THEN CAST(l_quantity AS BIGINT) END AS input_tokens,
+   CASE WHEN l_linenumber % 5 NOT IN (0, 4) THEN l_partkey % 100 END AS output_tokens FROM lineitem""")
+def reported_usage(t):
+    line, n_in, n_out = F.col("l_linenumber"), F.col("l_quantity").cast("bigint"), F.col("l_partkey") % 100
+    first = F.to_json(F.struct(n_in.alias("prompt_tokens"), n_out.alias("completion_tokens"), (n_in + n_out).alias("total_tokens")))
+    second = F.to_json(F.struct(n_in.alias("input_tokens"), n_out.alias("output_tokens")))
+    wrong = F.to_json(F.struct(n_in.alias("input_tokens"), n_out.alias("output_tokens"), (n_in + n_out + 1).alias("total_tokens")))
+    texts = F.to_json(F.struct(n_in.cast("string").alias("prompt_tokens"), n_out.alias("completion_tokens")))
+    body = F.when(line % 5 == 0, wrong).when(line % 5 == 4, texts).when(line % 2 == 0, first).otherwise(second)
+    used = ledger.reported_usage(F.col("body"))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", body.alias("body")).withColumn("u", used)
+    return rows.select("l_orderkey", "l_linenumber", F.col("u.input_tokens").alias("input_tokens"), F.col("u.output_tokens").alias("output_tokens"))
+
+
 @query("monthly_usage", """SELECT strftime(l_shipdate, '%Y-%m') AS month, count(*) AS calls, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS input_tokens,
    CAST(sum(l_partkey % 100) AS BIGINT) AS output_tokens, CAST(sum(CAST(l_quantity AS BIGINT) + l_partkey % 100) AS BIGINT) AS total_tokens
    FROM lineitem WHERE l_linenumber % 5 <> 0 GROUP BY 1""")

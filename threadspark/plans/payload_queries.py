@@ -6,6 +6,8 @@ from threadspark.operators import payloads
 from threadspark.plans.registry import DISCUSSION, WS, query
 from threadspark.plans.text_queries import _SQL_REDACT
 from threadspark.plans.thread_queries import _EDGES, _NAMES, _UNDIRECTED
+from threadspark.rule_library import RULE_LIBRARY
+from threadspark.sources.rules import rules_table
 
 _ALIASES = """aliases AS (SELECT thread_id, author_name AS name, concat('U', row_number() OVER (PARTITION BY thread_id ORDER BY min(pos))) AS alias
   FROM discussion GROUP BY thread_id, author_name)"""
@@ -109,3 +111,20 @@ def build_finding_payloads(t):
    CAST(sum(image_count) AS BIGINT) AS omitted_image_count, 'api.example.com' AS hostname FROM rows GROUP BY thread_id""")
 def preflight_summary(t):
     return payloads.preflight_summary(_finding_rows(t), F.lit("https://api.example.com/v1")).drop("selection_id")
+
+
+_RULE_ROWS = ", ".join(f"('{key}.{i:02d}', {len(text)})" for key, (_, texts) in RULE_LIBRARY.items() for i, text in enumerate(texts, 1))
+
+
+@query("allowed_reasons", f"""WITH {DISCUSSION}, c AS (SELECT thread_id, printf('R%02d.%02d', CAST(pos * length(content) % 18 AS INTEGER), CAST(length(content) % 11 AS INTEGER)) AS reason_id, pos FROM discussion),
+   lib(reason_id, n) AS (VALUES {_RULE_ROWS}), a AS (SELECT thread_id, reason_id, min(pos) AS rank, n FROM c JOIN lib USING (reason_id) GROUP BY ALL)
+   SELECT d.thread_id AS selection_id, count(*) AS reply_count, coalesce((SELECT string_agg(concat(reason_id, ':', n), ',' ORDER BY rank) FROM a WHERE a.thread_id = d.thread_id), '') AS reasons
+   FROM discussion d GROUP BY d.thread_id""")
+def allowed_reasons(t):
+    rows = t.discussion.withColumn("selection_id", F.col("thread_id"))
+    size = F.length("content")
+    code = F.format_string("R%02d.%02d", (F.col("pos") * size % 18).cast("int"), (size % 11).cast("int"))
+    reasons = payloads.allowed_reasons(rows.select("selection_id", code.alias("reason_id"), F.col("pos").alias("rank")), rules_table(t.spark))
+    found = payloads.finding_requests(rows, reasons)
+    listed = F.array_join(F.transform("allowed_reasons", lambda r: F.concat(r["id"], F.lit(":"), F.length(r["text"]))), ",")
+    return found.select("selection_id", "reply_count", listed.alias("reasons"))
