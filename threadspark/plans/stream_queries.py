@@ -32,21 +32,21 @@ def _folders(t):
 
 @query("stream_bursts", """WITH b AS (SELECT user_id, event_type, epoch_us(ts) // 1000 AS ms, CAST(trunc(value) AS INTEGER) AS risk FROM events),
    w AS (SELECT user_id, (ms // 3600000 - k) * 3600000 AS start_ms, risk FROM b, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS k))
-   SELECT user_id, start_ms, count(*) AS n FROM w WHERE start_ms + 21600000 <= (SELECT max(ms) - 3600000 FROM b) GROUP BY ALL HAVING count(*) >= 3 AND sum(risk) >= 35""")
+   SELECT user_id, start_ms, count(*) AS n FROM w GROUP BY ALL HAVING count(*) >= 3 AND sum(risk) >= 35""")
 def stream_bursts(t):
     posts = _stream(t, "events").select("user_id", F.col("ts").alias("at"), F.col("value").cast("int").alias("risk"))
-    return jobs.start_available(jobs.stream_bursts(posts, ["user_id"], "6 hours", "1 hour", 3, 35), *_folders(t))
+    found = jobs.stream_bursts(posts, ["user_id"], "6 hours", "1 hour", 3, 35)
+    return jobs.start_updates(found, ["user_id", "start_ms"], "n", *_folders(t))
 
 
 @query("stream_usage", """WITH d AS (SELECT date_trunc('day', l_shipdate) AS day, count(*) AS calls, sum(CAST(l_quantity AS BIGINT)) AS i, sum(l_partkey % 100) AS o FROM lineitem GROUP BY 1)
-   SELECT strftime(day, '%Y-%m') AS month, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens FROM d
-   WHERE day + INTERVAL 1 DAY <= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 1 DAY GROUP BY 1""")
+   SELECT strftime(day, '%Y-%m') AS month, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens FROM d GROUP BY 1""")
 def stream_usage(t):
     calls = _stream(t, "lineitem").select(
         F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("attempt_id"), F.col("l_shipdate").alias("called_at"),
         F.col("l_quantity").cast("bigint").alias("input_tokens"), (F.col("l_partkey") % 100).alias("output_tokens"),
     )
-    return jobs.usage_by_month(jobs.start_available(jobs.stream_usage(calls), *_folders(t)))
+    return jobs.usage_by_month(jobs.start_updates(jobs.stream_usage(calls), ["day"], "calls", *_folders(t)))
 
 
 @query("stream_merge_captures", """SELECT CAST(user_id AS VARCHAR) AS thread_id, concat('site:main:', event_id % 9) AS merge_key, arg_max(event_id, epoch_us(ts)) AS capture_id FROM events GROUP BY 1, 2""")

@@ -27,6 +27,20 @@ def start_available(rows: DataFrame, path: str, checkpoint: str, mode: str = "ap
     return rows.sparkSession.read.parquet(path)
 
 
+def start_updates(rows: DataFrame, keys: list[str], version: str, path: str, checkpoint: str) -> DataFrame:
+    """Runs a windowed stream over everything available into a table of its latest results and waits for it.
+
+    Windows that are still open have their row from the first batch on, so none is lost when a stream ends;
+    ``version`` is a column that only grows while a window fills, so a retried batch changes nothing.
+    """
+    def apply(batch: DataFrame, _: int) -> None:
+        upsert_table(batch.sparkSession, path, batch, keys, F.col(version))
+
+    query = rows.writeStream.foreachBatch(apply).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return rows.sparkSession.read.parquet(path).select(*rows.columns)
+
+
 # --- merged replies --------------------------------------------------------------------------
 
 
