@@ -34,7 +34,7 @@ def dense_number(df: DataFrame, group: list[str], pos: str, out: str, block: int
 def ordered_number(df: DataFrame, group: list[str], order: list[Column], out: str) -> DataFrame:
     """Row number per group for any total order: range partitions, each numbered on its own.
 
-    The range bounds are sampled, so the partition of each row is fixed by a checkpoint before use.
+    The range bounds are sampled, so the partition of each row is stored in a table before use.
     """
     ranged = df.repartitionByRange(*[F.col(name) for name in group], *order)
     ranged = cut_lineage(ranged.withColumn("_block", F.spark_partition_id()))
