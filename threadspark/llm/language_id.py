@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,12 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadspark.llm.byte_bpe import VOCABULARY, read_ranks
-from threadspark.llm.common import salt_of, stored, table
+from threadspark.llm.common import packed, salt_of, stored, table
 
-LONGEST, SAMPLE, ROUNDS, SMOOTHING = 8, 20_000, 2, 0.1
+LONGEST, SAMPLE, ROUNDS, SMOOTHING, PARTS = 8, 20_000, 2, 0.1, 16
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
-_CHUNK, _MEMO = 8_192, 800_000
+_CHUNK, _MEMO, _BLOCK = 8_192, 800_000, 1_024
+_SUMS = "lang string, block long, uses binary"
 
 
 class Pieces:
@@ -134,8 +136,14 @@ def words_of(text: str) -> list[bytes]:
 def _chances(pieces: Pieces, languages: list[str], sums: DataFrame) -> np.ndarray:
     counts = np.zeros((pieces.size + 1, len(languages)))
     place = {name: k for k, name in enumerate(languages)}
-    for lang, piece, uses in sums.groupBy("lang", "piece").agg(F.sum("uses")).toLocalIterator():
-        counts[piece, place[lang]] += uses
+
+    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(raw, "<f8") for raw in rows["uses"]], axis=0)
+        return pd.DataFrame([(*key, packed(total, "<f8"))], columns=["lang", "block", "uses"])
+
+    for lang, block, raw in sums.groupBy("lang", "block").applyInPandas(add, _SUMS).toLocalIterator():
+        values = np.frombuffer(raw, "<f8")
+        counts[block * _BLOCK : block * _BLOCK + len(values), place[lang]] += values
     counts[:-1] += SMOOTHING
     counts[-1] = 0.0
     return counts / counts.sum(axis=0)
@@ -163,7 +171,8 @@ def fit(rows: DataFrame, ranks: dict[bytes, int], sample: int = SAMPLE, rounds:
             yield pa.RecordBatch.from_arrays(arrays, ["lang", "word", "n"])
 
     counted = labelled.select("lang", "text").mapInArrow(count_words, "lang string, word binary, n long")
-    words = stored(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
+    # The sample bounds this table, so it is read in a few parts, each of which gives one vector per language.
+    words = stored(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words").coalesce(PARTS)
     sent_pieces = context.broadcast(pieces)
 
     def uses(chance) -> DataFrame:
@@ -185,11 +194,11 @@ def fit(rows: DataFrame, ranks: dict[bytes, int], sample: int = SAMPLE, rounds:
                             for ids in found:
                                 total += np.bincount(ids.ravel(), weights=np.repeat(weight, ids.shape[1]), minlength=pieces.size + 1)
             for lang, total in sums.items():
-                ids = np.flatnonzero(total[:-1])
-                arrays = [pa.array([lang] * len(ids), pa.string()), pa.array(ids, pa.int64()), pa.array(total[ids])]
-                yield pa.RecordBatch.from_arrays(arrays, ["lang", "piece", "uses"])
+                blocks = [packed(total[k : k + _BLOCK], "<f8") for k in range(0, pieces.size, _BLOCK)]
+                arrays = [pa.array([lang] * len(blocks), pa.string()), pa.array(range(len(blocks)), pa.int64()), pa.array(blocks, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["lang", "block", "uses"])
 
-        return words.mapInArrow(run, "lang string, piece long, uses double")
+        return words.mapInArrow(run, _SUMS)
 
     chance = _chances(pieces, languages, uses(None)) if languages else np.zeros((pieces.size + 1, 0))
     for _ in range(rounds if languages else 0):
