@@ -34,16 +34,15 @@ def dense_number(df: DataFrame, group: list[str], pos: str, out: str, block: int
 def ordered_number(df: DataFrame, group: list[str], order: list[Column], out: str) -> DataFrame:
     """Row number per group for any total order: range partitions, each numbered on its own.
 
-    The range bounds are sampled, so the partition of each row is stored in a table before use.
+    The range bounds are sampled, so each row's partition and its number in there are stored in a table before use.
     """
     ranged = df.repartitionByRange(*[F.col(name) for name in group], *order)
-    ranged = cut_lineage(ranged.withColumn("_block", F.spark_partition_id()))
+    local = F.row_number().over(Window.partitionBy(*group, "_block").orderBy(*order))
+    ranged = cut_lineage(ranged.withColumn("_block", F.spark_partition_id()).withColumn("_local", local))
     sizes = ranged.groupBy(*group, "_block").agg(F.count("*").alias("_size"))
     offsets = sizes.select(*group, "_block", _earlier("_size", group, "_block").alias("_before"))
-    local = F.row_number().over(Window.partitionBy(*group, "_block").orderBy(*order))
     return (
-        ranged.withColumn("_local", local)
-        .join(offsets, [*group, "_block"])
+        ranged.join(offsets, [*group, "_block"])
         .withColumn(out, F.col("_local") + F.col("_before"))
         .drop("_block", "_local", "_before")
     )
