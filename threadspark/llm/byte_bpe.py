@@ -28,7 +28,7 @@ from threadspark.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 _PART, _UNEVEN = re.compile(r"(?= \S)"), re.compile(r" (?:\s|\Z)")
-MEMO, MEMO_LENGTH = 1_000_000, 32
+MEMO, MEMO_LENGTH = 350_000, 32
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -35,7 +35,7 @@ from threadspark.llm.common import packed, salt_of, stored, table
 LONGEST, SAMPLE, ROUNDS, SMOOTHING, PARTS = 8, 20_000, 2, 0.1, 16
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
-_CHUNK, _MEMO, _BLOCK = 8_192, 800_000, 1_024
+_CHUNK, _MEMO, _BLOCK = 8_192, 250_000, 1_024
 _SUMS = "lang string, block long, uses binary"
 
 
@@ -245,7 +245,7 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred"
             texts = batch.column("text").to_pylist()
             found, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             known = [k for k, text in enumerate(texts) if languages and text and _LETTER.search(text)]
-            for part in np.array_split(known, max(1, len(known) // 1_000)) if known else []:
+            for part in np.array_split(known, max(1, len(known) // 500)) if known else []:
                 for k, values in zip(part, scorer.score([texts[k] for k in part]), strict=True):
                     best = int(np.argmax(values))
                     found[k], scores[k] = languages[best], 1.0 / np.exp(values - values[best]).sum()
