@@ -35,7 +35,7 @@ from threadspark.llm.common import packed, salt_of, stored, table
 LONGEST, SAMPLE, ROUNDS, SMOOTHING, PARTS = 8, 20_000, 2, 0.1, 16
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
-_CHUNK, _MEMO, _BLOCK = 8_192, 250_000, 1_024
+_CHUNK, _MEMO, _BLOCK = 4_096, 150_000, 1_024
 _SUMS = "lang string, block long, uses binary"
 
 
