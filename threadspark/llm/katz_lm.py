@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from threadspark.llm.common import packed, salt_of, stored, table, texts_of
 
-TOP, SHARD_BYTES, LEAST_SHARDS = 5, 32_000_000, 24
+TOP, SHARD_BYTES, LEAST_SHARDS, PIECES, BATCH_BYTES = 5, 16_000_000, 24, 8, 8_000_000
 END, START = xxhash.xxh3_64_intdigest(b""), xxhash.xxh3_64_intdigest(b" ")  # no token is empty or blank
 # per document: pairs seen 1..TOP times, unseen pairs whose word was seen 1..TOP times, unknown words, known words, unseen pairs
 _COUNTS = 2 * TOP + 3
@@ -60,16 +61,23 @@ def starts_of(*sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows with about ``BATCH_BYTES`` of text, one row at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    part = sizes // BATCH_BYTES
+    cuts = [*np.flatnonzero(np.diff(part, prepend=-1)), len(part)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield batch.slice(int(a), int(b - a))
+
+
 _PAIRS = "shard long, batch long, docs long, train binary, words binary, spans binary, contexts binary, uses binary, places binary, ids binary"
 
 
 def packed_pairs(docs: DataFrame, shards: int) -> DataFrame:
-    """Distinct pairs of each batch by word shard. ``docs``: doc_id, text, train. Rows of one batch fit in memory."""
+    """Distinct pairs of each batch by word shard. ``docs``: doc_id, text, train. A batch has about ``BATCH_BYTES`` of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, batch in enumerate(batches):
-            if not batch.num_rows:
-                continue
+        for number, batch in enumerate(part for whole in batches for part in _cut(whole)):
             ids = batch.column("doc_id")
             name = (TaskContext.get().partitionId() << 32) + number
             parts, lengths = [], []
@@ -122,62 +130,80 @@ def _classes(counts: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owner[low] * TOP + counts[low] - 1, minlength=n * TOP).reshape(n, TOP)
 
 
-def count_shards(pairs: DataFrame, shards: int) -> DataFrame:
-    """Facts of every word shard: documents' sums, contexts' sums, unseen occurrences, counts of counts."""
+def _histogram(counts: np.ndarray) -> list[int]:
+    """Types seen 1..TOP+1 times, all seen types, their tokens, types above TOP, their tokens."""
+    seen = counts[counts > 0]
+    return [*np.bincount(np.minimum(seen, TOP + 2), minlength=TOP + 3)[1 : TOP + 2].tolist(), len(seen), int(seen.sum()), int((seen > TOP).sum()), int(seen[seen > TOP].sum())]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("batch")
-        out, shard = [], int(rows["shard"].iloc[0])
+
+def _by_width(keys: np.ndarray, facts: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+    """Contexts with the narrowest numbers that hold their facts; nearly all fit in one byte each."""
+    most = facts.max(axis=1) if len(facts) else np.zeros(0, np.uint64)
+    for low, high, kind in ((0, 2**8, "<u1"), (2**8, 2**32, "<u4"), (2**32, 2**64 - 1, "<u8")):
+        some = (most >= low) & (most < high) if low else most < high
+        if some.any():
+            yield packed(keys[some], "<u8"), packed(facts[some].T, kind)
+
+
+class _Shard:
+    """What one word shard sums up; its words are taken in ``PIECES`` ranges of the hash, so little is unpacked at a time."""
+
+    def __init__(self, rows: pd.DataFrame):
         read = lambda name, kind: [np.frombuffer(raw, kind) for raw in rows[name]]
-        words, spans, contexts, uses = read("words", "<u8"), read("spans", "<u4"), read("contexts", "<u8"), read("uses", "<u4")
+        self.words, self.spans, self.contexts, self.uses = read("words", "<u8"), read("spans", "<u4"), read("contexts", "<u8"), read("uses", "<u4")
         docs = rows["docs"].to_numpy()
-        places = [np.frombuffer(raw, "<u4" if n > 65_535 else "<u2") for raw, n in zip(rows["places"], docs, strict=True)]
-        train = np.concatenate([np.unpackbits(np.frombuffer(raw, np.uint8), count=int(n)) for raw, n in zip(rows["train"], docs, strict=True)]).astype(bool)
-        first = np.concatenate(([0], np.cumsum(docs)))
-        word = np.concatenate([np.repeat(w, s) for w, s in zip(words, spans, strict=True)])
-        context, use = np.concatenate(contexts), np.concatenate(uses).astype(np.int64)
-        doc = np.concatenate([p.astype(np.int64) + f for p, f in zip(places, first, strict=False)])
-        del words, spans, contexts, uses, places
-        trained = np.add.reduceat(train[doc].astype(np.int64), np.concatenate(([0], np.cumsum(use)[:-1]))) if len(doc) else np.zeros(0, np.int64)
+        self.places = [np.frombuffer(raw, "<u4" if n > 65_535 else "<u2") for raw, n in zip(rows["places"], docs, strict=True)]
+        self.first = np.concatenate(([0], np.cumsum(docs)))
+        self.train = np.concatenate([np.unpackbits(np.frombuffer(raw, np.uint8), count=int(n)) for raw, n in zip(rows["train"], docs, strict=True)]).astype(bool)
+        total = int(self.first[-1])
+        self.counts, self.sums = np.zeros((total, _COUNTS), np.int64), np.zeros((total, 2))
+        self.numbers = np.zeros((2, TOP + 6), np.int64)
+        self.seen: list[tuple[np.ndarray, np.ndarray]] = []
+        self.asked: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def unpack(self, low: int, high: int | None):
+        """Words, contexts and uses of the pairs in a range of word hashes, and the document of each occurrence."""
+        parts: list[list[np.ndarray]] = [[], [], [], []]
+        for k, words in enumerate(self.words):
+            a, b = np.searchsorted(words, np.uint64(low)), len(words) if high is None else np.searchsorted(words, np.uint64(high))
+            skip, size = int(self.spans[k][:a].sum()), int(self.spans[k][a:b].sum())
+            uses = self.uses[k][skip : skip + size]
+            start = int(self.uses[k][:skip].sum())
+            found = (np.repeat(words[a:b], self.spans[k][a:b]), self.contexts[k][skip : skip + size], uses, self.places[k][start : start + int(uses.sum())].astype(np.int32) + np.int32(self.first[k]))
+            for part, values in zip(parts, found, strict=True):
+                part.append(values)
+        return [np.concatenate(part) for part in parts]
+
+    def take(self, low: int, high: int | None) -> None:
+        word, context, use, doc = self.unpack(low, high)
+        if not len(word):
+            return
+        trained = np.add.reduceat(self.train[doc].astype(np.int64), np.concatenate(([0], np.cumsum(use, dtype=np.int64)[:-1])))
         order = np.lexsort((context, word))
         word_runs, pair_runs = starts_of(word[order]), starts_of(word[order], context[order])
-        of_pair, of_word = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
         pair_no = np.repeat(np.arange(len(pair_runs)), np.diff(np.append(pair_runs, len(order))))
         word_no = np.repeat(np.arange(len(word_runs)), np.diff(np.append(word_runs, len(order))))
-        pair_sum = np.bincount(pair_no, weights=trained[order], minlength=len(pair_runs)).astype(np.int64)
-        word_sum = np.bincount(word_no, weights=trained[order], minlength=len(word_runs)).astype(np.int64)
+        pair_sum, word_sum = np.add.reduceat(trained[order], pair_runs), np.add.reduceat(trained[order], word_runs)
+        of_pair, of_word = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
         of_pair[order], of_word[order] = pair_sum[pair_no], word_sum[word_no]
-
-        def histogram(counts: np.ndarray) -> list[int]:
-            seen = counts[counts > 0]
-            return [*np.bincount(np.minimum(seen, TOP + 2), minlength=TOP + 3)[1 : TOP + 2].tolist(), len(seen), int(seen.sum()), int((seen > TOP).sum()), int(seen[seen > TOP].sum())]
-
         ends = word_sum[word[order][word_runs] == np.uint64(END)].sum()
-        numbers = np.array([[*histogram(pair_sum), 0], [*histogram(word_sum), int(ends)]])
-        out.append(("hist", 0, shard, None, packed(numbers, "<i8"), None))
+        self.numbers += np.array([[*_histogram(pair_sum), 0], [*_histogram(word_sum), int(ends)]])
         # contexts of the seen pairs: tokens, pairs by class, twice the discounted larger counts; the same of their words
-        head, pair_word = order[pair_runs], word_no[pair_runs]
         seen = pair_sum > 0
-        keys, owner = np.unique(context[head][seen], return_inverse=True)
-        c, u, n = pair_sum[seen], word_sum[pair_word][seen], len(keys)
+        keys, owner = np.unique(context[order[pair_runs]][seen], return_inverse=True)
+        c, u, n = pair_sum[seen], word_sum[word_no[pair_runs]][seen], len(keys)
         whole = lambda values: np.bincount(owner, weights=values, minlength=n).astype(np.int64)
-        facts = np.column_stack([
-            whole(c), _classes(c, owner, n), whole(np.where(c > TOP, 2 * c - 1, 0)), _classes(u, owner, n), whole(np.where(u > TOP, 2 * u - 1, 0)),
-        ]) if n else np.zeros((0, 2 * TOP + 3), np.int64)
-        edges = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
-        out += [
-            ("context", k, shard, packed(keys[a:b], "<u8"), packed(facts[a:b].T, "<u4" if facts.size and facts.max() < 2**32 else "<u8"), None)
-            for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b
-        ]
+        if n:
+            facts = (whole(c), _classes(c, owner, n), whole(np.where(c > TOP, 2 * c - 1, 0)), _classes(u, owner, n), whole(np.where(u > TOP, 2 * u - 1, 0)))
+            self.seen.append((keys, np.column_stack(facts).astype(np.uint32 if max(int(x.max()) for x in facts) < 2**32 else np.uint64)))
         # occurrences
-        c2, c1 = np.repeat(of_pair, use), np.repeat(of_word, use)
         last = np.repeat(word == np.uint64(END), use)
-        total = int(first[-1])
-        unseen = c2 == 0
-        counts = np.column_stack([
-            _classes(c2, doc, total), _classes(np.where(unseen, c1, 0), doc, total),
-            np.bincount(doc[unseen & (c1 == 0)], minlength=total), np.bincount(doc[c1 > 0], minlength=total), np.bincount(doc[unseen], minlength=total),
-        ])
+        c2, c1, asked = np.repeat(of_pair, use), np.repeat(of_word, use), np.repeat(context, use)
+        unseen, total = c2 == 0, len(self.counts)
+        self.counts[:, :TOP] += _classes(c2, doc, total)
+        self.counts[:, TOP : 2 * TOP] += _classes(np.where(unseen, c1, 0), doc, total)
+        for k, some in enumerate((unseen & (c1 == 0), c1 > 0, unseen)):
+            self.counts[:, 2 * TOP + k] += np.bincount(doc[some], minlength=total)
         logs = np.zeros(len(doc))
         some = c2 > TOP
         logs[some] += np.log(c2[some] - 0.5)
@@ -185,22 +211,55 @@ def count_shards(pairs: DataFrame, shards: int) -> DataFrame:
         logs[some] += np.log(c1[some] - 0.5)
         some = ~last & (c1 > 0)
         logs[some] -= np.log(c1[some])
-        sums = np.column_stack([np.bincount(doc, weights=logs, minlength=total), np.bincount(doc, weights=np.log(c1 + 0.5), minlength=total)])
-        names = rows["batch"].to_numpy()
+        self.sums[:, 0] += np.bincount(doc, weights=logs, minlength=total)
+        self.sums[:, 1] += np.bincount(doc, weights=np.log(c1 + 0.5), minlength=total)
+        self.asked.append((asked[unseen], doc[unseen]))
+
+    def context_facts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Contexts and their numbers over all pieces."""
+        if not self.seen:
+            return np.zeros(0, np.uint64), np.zeros((0, 2 * TOP + 3), np.uint64)
+        names = np.concatenate([keys for keys, _ in self.seen])
+        order = np.argsort(names, kind="stable")
+        runs = starts_of(names[order])
+        numbers = np.concatenate([facts for _, facts in self.seen])[order]
+        return names[order][runs], np.add.reduceat(numbers, runs, axis=0, dtype=np.uint64)
+
+
+def count_shards(pairs: DataFrame, shards: int) -> DataFrame:
+    """Facts of every word shard: documents' sums, contexts' sums, unseen occurrences, counts of counts."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("batch", ignore_index=True)
+        out, number = [], int(rows["shard"].iloc[0])
+        names, ids = rows["batch"].to_numpy(), rows["ids"]
+        shard = _Shard(rows)
+        low, high = (-(-(k << 32) // shards) << 32 for k in (number, number + 1))
+        edges = [low + (high - low) * k // PIECES for k in range(PIECES)]
+        for a, b in zip(edges, [*edges[1:], None], strict=True):
+            shard.take(a, b)
+        out.append(("hist", 0, number, None, packed(shard.numbers, "<i8"), None))
+        keys, facts = shard.context_facts()
+        cuts = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            out += [("context", k, number, *row, None) for row in _by_width(keys[a:b], facts[a:b])]
+        del keys, facts
+        shard.seen.clear()
         for k, name in enumerate(names):
-            here = slice(first[k], first[k + 1])
-            out.append(("doc", 0, int(name), None, packed(counts[here], "<u4"), packed(sums[here], "<f8")))
-            if rows["ids"].iloc[k] is not None:
-                out.append(("size", 0, int(name), None, rows["ids"].iloc[k], None))
-        asked, place = np.repeat(context, use)[unseen], doc[unseen]
+            here = slice(shard.first[k], shard.first[k + 1])
+            out.append(("doc", 0, int(name), None, packed(shard.counts[here], "<u4"), packed(shard.sums[here], "<f8")))
+            if ids[k] is not None:
+                out.append(("size", 0, int(name), None, ids[k], None))
+        asked, place = (np.concatenate([x[j] for x in shard.asked]) for j in (0, 1)) if shard.asked else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
         order = np.argsort(asked, kind="stable")
         asked, place = asked[order], place[order]
-        batch = np.searchsorted(first, place, side="right") - 1
-        where = (names[batch], place - first[batch]) if len(place) else (place, place)
-        edges = np.searchsorted(shard_of(asked, shards), np.arange(shards + 1))
+        batch = np.searchsorted(shard.first, place, side="right") - 1
+        where = (names[batch], place - shard.first[batch])
+        shard.asked.clear()
+        cuts = np.searchsorted(shard_of(asked, shards), np.arange(shards + 1))
         out += [
-            ("ask", k, shard, packed(asked[a:b], "<u8"), packed(where[0][a:b], "<i8"), packed(where[1][a:b], "<u4"))
-            for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b
+            ("ask", k, number, packed(asked[a:b], "<u8"), packed(where[0][a:b], "<i8"), packed(where[1][a:b], "<u4"))
+            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b
         ]
         return pd.DataFrame(out, columns=[x.split()[0] for x in _FACTS.split(", ")])
 
@@ -244,7 +303,7 @@ def backoff(facts: DataFrame, discounts: Discounts) -> DataFrame:
         total = np.zeros((len(keys), 2 * TOP + 3))
         for raw, numbers in zip(known["keys"], known["numbers"], strict=True):
             mine = np.frombuffer(raw, "<u8")
-            values = np.frombuffer(numbers, "<u8" if len(numbers) == 8 * (2 * TOP + 3) * len(mine) else "<u4").reshape(2 * TOP + 3, -1)
+            values = np.frombuffer(numbers, f"<u{len(numbers) // (2 * TOP + 3) // len(mine)}").reshape(2 * TOP + 3, -1)
             at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
             hit = keys[at] == mine
             total[at[hit]] += values[:, hit].T
