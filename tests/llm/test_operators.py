@@ -315,6 +315,34 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(language_id.forward(pieces.inside(long), chance)[0]).all()
 
 
+def test_words_of_any_length_are_learnt_in_every_round(spark):
+    pieces = language_id.Pieces({b"a": 0, b"b": 1, b"ab": 2, b"bab": 3})
+    chance = np.zeros(pieces.size + 1)
+    chance[:-1] = np.random.default_rng(2).random(pieces.size) / 300
+    lengths = np.array([len(name) for name in pieces.names])
+
+    def splits(word):
+        if not word:
+            yield ()
+        for k, name in enumerate(pieces.names):
+            if word.startswith(name):
+                yield from ((k, *rest) for rest in splits(word[len(name) :]))
+
+    for word in (b"a", b"babbab", b"ab" * 9, b"ab" * 3_000):
+        uses = language_id.expected(pieces.inside(np.frombuffer(word * 2, np.uint8).reshape(2, -1)), chance, np.array([1.0, 2.0]), pieces.size)
+        assert math.isclose(uses[:-1] @ lengths, 3 * len(word), rel_tol=1e-9)  # every segmentation covers the word
+        if len(word) < 20:
+            ways = [(np.bincount(way, minlength=pieces.size + 1), np.prod(chance[list(way)])) for way in splits(word)]
+            assert np.allclose(uses, 3 * sum(count * p for count, p in ways) / sum(p for _, p in ways))
+    ranks = byte_bpe.read_ranks(public_tokenizers.path(byte_bpe.VOCABULARY))
+    pick = random.Random(3)
+    unbroken = lambda letters: "".join(pick.choice(letters) for _ in range(40))
+    rows = [(k, unbroken(letters), lang) for k, (lang, letters) in enumerate([("ja", "のにはをたがで"), ("zh", "的一是不了人我")] * 40)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), ranks)
+    covered = model.chance[:-1].max(axis=0)
+    assert (covered > 0.01).all()  # not the flat distribution of smoothing alone
+
+
 # 9 language model
 
 

@@ -73,9 +73,10 @@ def grouped(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(lengths, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
-        for k in range(0, len(part), _CHUNK):
-            some = part[k : k + _CHUNK]
-            size = int(lengths[some[0]])
+        size = int(lengths[part[0]]) if len(part) else 0
+        step = max(1, min(_CHUNK, _CHUNK * 32 // max(1, size)))
+        for k in range(0, len(part), step):
+            some = part[k : k + step]
             yield some, np.frombuffer(b"".join(words[i] for i in some), np.uint8).reshape(len(some), size)
 
 
@@ -100,25 +101,44 @@ def forward(found: list[np.ndarray], chance: np.ndarray) -> tuple[np.ndarray, li
 
 
 def expected(found: list[np.ndarray], chance: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
-    """Expected uses of each piece in weighted words under one language (chance: pieces + 1)."""
+    """Expected uses of each piece in weighted words of any length under one language (chance: pieces + 1).
+
+    Forward and backward sums are rescaled every ``LONGEST`` places; each place keeps the log scale of its sums.
+    """
     n, m = found[0].shape
-    ahead = [np.ones(n)]
+
+    def rescale(sums: np.ndarray, scales: np.ndarray, window: slice, j: int) -> None:
+        top = np.where(sums[j] > 0, sums[j], 1.0)
+        sums[window] /= top
+        scales[window] += np.log(top)
+
+    ahead, ahead_log = np.zeros((m + 1, n)), np.zeros((m + 1, n))
+    ahead[0] = 1.0
     for j in range(1, m + 1):
-        total = np.zeros(n)
         for k in range(1, min(j, len(found)) + 1):
-            total += ahead[j - k] * chance[found[k - 1][:, j - k]]
-        ahead.append(total)
-    behind: list[np.ndarray] = [np.ones(n)] * (m + 1)
+            ahead[j] += ahead[j - k] * chance[found[k - 1][:, j - k]]
+        ahead_log[j] = ahead_log[j - 1]
+        if j % LONGEST == 0:
+            rescale(ahead, ahead_log, slice(j - LONGEST, j + 1), j)
+    behind, behind_log = np.zeros((m + 1, n)), np.zeros((m + 1, n))
+    behind[m] = 1.0
     uses = np.zeros(size + 1)
-    share = weight / np.maximum(ahead[m], 1e-300)
+    whole = weight / np.where(ahead[m] > 0, ahead[m], 1.0)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []  # few words use few pieces at a place, so many places are counted at once
     for j in range(m - 1, -1, -1):
-        total = np.zeros(n)
+        share = whole * ahead[j] * np.exp(ahead_log[j] + behind_log[j + 1] - ahead_log[m])
         for k in range(1, min(m - j, len(found)) + 1):
             ids = found[k - 1][:, j]
             part = chance[ids] * behind[j + k]
-            uses += np.bincount(ids, weights=share * ahead[j] * part, minlength=size + 1)
-            total += part
-        behind[j] = total
+            waiting.append((ids, share * part))
+            behind[j] += part
+        behind_log[j] = behind_log[j + 1]
+        if (m - j) % LONGEST == 0:
+            rescale(behind, behind_log, slice(j, j + LONGEST + 1), j)
+        if len(waiting) * n > _CHUNK * LONGEST or j == 0:
+            ids, values = (np.concatenate(part) for part in zip(*waiting, strict=True))
+            uses += np.bincount(ids, weights=values, minlength=size + 1)
+            waiting.clear()
     uses[size] = 0.0
     return uses
 
@@ -188,9 +208,9 @@ def fit(rows: DataFrame, ranks: dict[bytes, int], sample: int = SAMPLE, rounds:
                     total = sums.setdefault(lang, np.zeros(pieces.size + 1))
                     for places, matrix in grouped([texts[k] for k in mine]):
                         found, weight = pieces.inside(matrix), weights[mine[places]]
-                        if known is not None and matrix.shape[1] <= 32:  # longer runs are rare and keep their start counts
+                        if known is not None:
                             total += expected(found, known[:, place[lang]], weight, pieces.size)
-                        elif known is None:
+                        else:
                             for ids in found:
                                 total += np.bincount(ids.ravel(), weights=np.repeat(weight, ids.shape[1]), minlength=pieces.size + 1)
             for lang, total in sums.items():
