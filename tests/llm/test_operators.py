@@ -364,6 +364,18 @@ def test_katz_scores_equal_the_definition(spark):
     assert katz_lm.score_documents(docs.limit(0), F.lit(True)).count() == 0
 
 
+def test_katz_shards_hold_nothing_per_document(spark, monkeypatch):
+    monkeypatch.setattr(katz_lm, "BATCH_BYTES", 2_000)
+
+    def sizes(n):  # bytes of the facts that a word shard gives out; each document shares one word with all others
+        docs = make_docs(spark, [f"shared own{k}" for k in range(n)]).select("doc_id", "text", F.lit(True).alias("train"))
+        facts = katz_lm.count_shards(katz_lm.packed_pairs(docs, 200), 200).where("kind not in ('hist', 'home', 'size')")
+        size = sum(F.coalesce(F.octet_length(name), F.lit(0)) for name in ("keys", "numbers", "sums"))
+        return facts.agg(F.sum(size)).first()[0]
+
+    assert sizes(2_000) < 2_000 * 200  # dense counters: 200 shards x 68 bytes of each document
+
+
 # 10 byte-level BPE
 
 

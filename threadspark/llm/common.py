@@ -17,17 +17,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: lineage is cut, lost executors do no harm.
 
-    The table replaces the shuffle files of its making, so these go when it is written.
+    The table replaces the shuffle files of its making, so these go when it is written. ``group_bytes``: size of the row groups,
+    as a reader takes up to 4,096 rows of one at once, which is much if rows are large.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        (writer if group_bytes is None else writer.option("parquet.block.size", group_bytes)).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     return spark.read.schema(df.schema).parquet(path)

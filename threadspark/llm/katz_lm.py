@@ -10,13 +10,14 @@ leaves (0, 1)), and N is the number of training tokens:
 
 so the probabilities after every context add up to 1. The score of a text is the sum of its tokens' log10 probabilities.
 
-How the work is spread. A batch of documents becomes its distinct (word, context) pairs with the documents of each
-occurrence, packed by word shard. A word shard counts pairs and words over all batches, and so knows c(h, w) and c(w) for
-every occurrence. Discounts depend on the counts of counts of the whole corpus, so it gives out sums per count class
-instead of probabilities: per document for its tokens, and per context for its seen words, packed by context shard.
-Occurrences of unseen pairs are sent to their context's shard, too, where a(h) is made once and added to the documents.
-Both tables are stored, partitioned by shard. Shards follow the bytes of the input; a pair or context that is frequent
-comes once per batch. Nothing but counts of counts reaches the driver.
+How the work is spread. A batch of documents becomes its distinct (word, context) pairs, packed by word shard, and one row
+that stays its own: the documents of each occurrence. A word shard counts pairs and words over all batches and answers each
+batch with c(h, w) and c(w) of the batch's own pairs, so no shard holds or sends anything for a document. Discounts depend on
+the counts of counts of the whole corpus, so contexts get sums per count class of their seen words, packed by context
+shard. Unseen pairs are sent to their context's shard, too, where a(h) is made once and answered to the batches. Each batch
+then adds up its own documents. One table of these facts is stored; neither c(h, w) nor a(h) is kept for later texts.
+Shards follow the bytes of the input; a pair or context that is frequent comes once per batch. Nothing but counts of counts
+reaches the driver.
 
 Null text is empty and has the end token only. Words are known by 64-bit hashes. A null doc_id has the fold of ''. Repeated
 rows each count and each give a row. Without training rows every token is unknown and has probability 1. Empty input gives
@@ -39,10 +40,8 @@ from pyspark.sql import functions as F
 
 from threadspark.llm.common import packed, salt_of, stored, table, texts_of
 
-TOP, SHARD_BYTES, LEAST_SHARDS, PIECES, BATCH_BYTES = 5, 16_000_000, 24, 8, 8_000_000
+TOP, SHARD_BYTES, LEAST_SHARDS, PIECES, BATCH_BYTES, GROUP_BYTES = 5, 16_000_000, 24, 8, 8_000_000, 4_000_000
 END, START = xxhash.xxh3_64_intdigest(b""), xxhash.xxh3_64_intdigest(b" ")  # no token is empty or blank
-# per document: pairs seen 1..TOP times, unseen pairs whose word was seen 1..TOP times, unknown words, known words, unseen pairs
-_COUNTS = 2 * TOP + 3
 
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -70,11 +69,25 @@ def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(int(a), int(b - a))
 
 
-_PAIRS = "shard long, batch long, docs long, train binary, words binary, spans binary, contexts binary, uses binary, places binary, ids binary"
+def narrowed(values: np.ndarray) -> bytes:
+    """Counts in the narrowest width that holds them all, which the first byte names."""
+    most = int(values.max()) if len(values) else 0
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    return bytes([width]) + packed(values, f"<u{width}")
+
+
+def widened(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
+_PAIRS = "shard long, batch long, first long, words binary, spans binary, contexts binary, trained binary, uses binary, places binary, ids binary"
 
 
 def packed_pairs(docs: DataFrame, shards: int) -> DataFrame:
-    """Distinct pairs of each batch by word shard. ``docs``: doc_id, text, train. A batch has about ``BATCH_BYTES`` of text."""
+    """Distinct pairs of each batch by word shard, and under a shard of its own (-1 - batch) the documents of their occurrences.
+
+    ``docs``: doc_id, text, train. A batch has about ``BATCH_BYTES`` of text. ``first`` numbers a row's pairs within the batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in enumerate(part for whole in batches for part in _cut(whole)):
@@ -100,20 +113,19 @@ def packed_pairs(docs: DataFrame, shards: int) -> DataFrame:
             pair = starts_of(word, context)
             uses = np.diff(np.append(pair, total))
             word, context = word[pair], context[pair]
-            train = np.packbits(batch.column("train").to_numpy(zero_copy_only=False).astype(bool)).tobytes()
+            flags = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
+            trained = np.add.reduceat(flags[place].astype(np.int64), pair) if total else np.zeros(0, np.int64)
+            runs = starts_of(word)
+            spans = np.diff(np.append(runs, len(word)))
+            sizes = packed(np.array([ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(False), lengths]), "<i8")
+            rows = [(-1 - name, name, 0, packed(word[runs] == np.uint64(END), "u1"), narrowed(spans), None, None, narrowed(uses), narrowed(place), sizes)]
             edges = np.searchsorted(shard_of(word, shards), np.arange(shards + 1))
-            cuts = np.append(pair, total)
-            rows = []
+            inside = np.searchsorted(runs, edges)
             for k in range(shards):
                 a, b = edges[k], edges[k + 1]
-                if a == b and k:
-                    continue
-                runs = starts_of(word[a:b])
-                rows.append((
-                    k, name, len(lengths), train, packed(word[a:b][runs], "<u8"), packed(np.diff(np.append(runs, b - a)), "<u4"),
-                    packed(context[a:b], "<u8"), packed(uses[a:b], "<u4"), packed(place[cuts[a] : cuts[b]], "<u4" if len(lengths) > 65_535 else "<u2"),
-                    packed(np.array([ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(False), lengths]), "<i8") if k == 0 else None,
-                ))
+                if a < b:
+                    here = slice(inside[k], inside[k + 1])
+                    rows.append((k, name, int(a), packed(word[runs[here]], "<u8"), narrowed(spans[here]), packed(context[a:b], "<u8"), narrowed(trained[a:b]), None, None, None))
             columns = list(zip(*rows, strict=True))
             kinds = [pa.int64()] * 3 + [pa.binary()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in _PAIRS.split(", ")])
@@ -121,7 +133,9 @@ def packed_pairs(docs: DataFrame, shards: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", "train").mapInArrow(run, _PAIRS)
 
 
-_FACTS = "kind string, target long, batch long, keys binary, numbers binary, sums binary"
+# home: places of a batch's own documents; counts: c(w) and c(h, w) of its pairs in one shard; ask and weight: its unseen pairs
+_FACTS = "kind string, target long, batch long, keys binary, numbers binary, sums binary, ids binary"
+_COLUMNS = [x.split()[0] for x in _FACTS.split(", ")]
 
 
 def _classes(counts: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -149,36 +163,28 @@ class _Shard:
     """What one word shard sums up; its words are taken in ``PIECES`` ranges of the hash, so little is unpacked at a time."""
 
     def __init__(self, rows: pd.DataFrame):
-        read = lambda name, kind: [np.frombuffer(raw, kind) for raw in rows[name]]
-        self.words, self.spans, self.contexts, self.uses = read("words", "<u8"), read("spans", "<u4"), read("contexts", "<u8"), read("uses", "<u4")
-        docs = rows["docs"].to_numpy()
-        self.places = [np.frombuffer(raw, "<u4" if n > 65_535 else "<u2") for raw, n in zip(rows["places"], docs, strict=True)]
-        self.first = np.concatenate(([0], np.cumsum(docs)))
-        self.train = np.concatenate([np.unpackbits(np.frombuffer(raw, np.uint8), count=int(n)) for raw, n in zip(rows["train"], docs, strict=True)]).astype(bool)
-        total = int(self.first[-1])
-        self.counts, self.sums = np.zeros((total, _COUNTS), np.int64), np.zeros((total, 2))
+        read = lambda name: [np.frombuffer(raw, "<u8") for raw in rows[name]]
+        self.words, self.contexts = read("words"), read("contexts")
+        self.spans, self.trained = ([widened(raw) for raw in rows[name]] for name in ("spans", "trained"))
+        self.first = rows["first"].to_numpy()
+        self.of_words, self.of_pairs = [np.zeros(len(x), np.int64) for x in self.words], [np.zeros(len(x), np.int64) for x in self.contexts]
         self.numbers = np.zeros((2, TOP + 6), np.int64)
         self.seen: list[tuple[np.ndarray, np.ndarray]] = []
-        self.asked: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def unpack(self, low: int, high: int | None):
-        """Words, contexts and uses of the pairs in a range of word hashes, and the document of each occurrence."""
-        parts: list[list[np.ndarray]] = [[], [], [], []]
-        for k, words in enumerate(self.words):
+    def take(self, low: int, high: int | None) -> None:
+        """Count the pairs in a range of word hashes over all batches and write the sums to each batch's own pairs."""
+        parts: list[list[np.ndarray]] = [[], [], []]
+        where = []
+        for words, spans, contexts, trained in zip(self.words, self.spans, self.contexts, self.trained, strict=True):
             a, b = np.searchsorted(words, np.uint64(low)), len(words) if high is None else np.searchsorted(words, np.uint64(high))
-            skip, size = int(self.spans[k][:a].sum()), int(self.spans[k][a:b].sum())
-            uses = self.uses[k][skip : skip + size]
-            start = int(self.uses[k][:skip].sum())
-            found = (np.repeat(words[a:b], self.spans[k][a:b]), self.contexts[k][skip : skip + size], uses, self.places[k][start : start + int(uses.sum())].astype(np.int32) + np.int32(self.first[k]))
-            for part, values in zip(parts, found, strict=True):
+            skip = int(spans[:a].sum())
+            pairs = slice(skip, skip + int(spans[a:b].sum()))
+            where.append((slice(a, b), pairs))
+            for part, values in zip(parts, (np.repeat(words[a:b], spans[a:b]), contexts[pairs], trained[pairs]), strict=True):
                 part.append(values)
-        return [np.concatenate(part) for part in parts]
-
-    def take(self, low: int, high: int | None) -> None:
-        word, context, use, doc = self.unpack(low, high)
+        word, context, trained = (np.concatenate(part) for part in parts)
         if not len(word):
             return
-        trained = np.add.reduceat(self.train[doc].astype(np.int64), np.concatenate(([0], np.cumsum(use, dtype=np.int64)[:-1])))
         order = np.lexsort((context, word))
         word_runs, pair_runs = starts_of(word[order]), starts_of(word[order], context[order])
         pair_no = np.repeat(np.arange(len(pair_runs)), np.diff(np.append(pair_runs, len(order))))
@@ -196,24 +202,21 @@ class _Shard:
         if n:
             facts = (whole(c), _classes(c, owner, n), whole(np.where(c > TOP, 2 * c - 1, 0)), _classes(u, owner, n), whole(np.where(u > TOP, 2 * u - 1, 0)))
             self.seen.append((keys, np.column_stack(facts).astype(np.uint32 if max(int(x.max()) for x in facts) < 2**32 else np.uint64)))
-        # occurrences
-        last = np.repeat(word == np.uint64(END), use)
-        c2, c1, asked = np.repeat(of_pair, use), np.repeat(of_word, use), np.repeat(context, use)
-        unseen, total = c2 == 0, len(self.counts)
-        self.counts[:, :TOP] += _classes(c2, doc, total)
-        self.counts[:, TOP : 2 * TOP] += _classes(np.where(unseen, c1, 0), doc, total)
-        for k, some in enumerate((unseen & (c1 == 0), c1 > 0, unseen)):
-            self.counts[:, 2 * TOP + k] += np.bincount(doc[some], minlength=total)
-        logs = np.zeros(len(doc))
-        some = c2 > TOP
-        logs[some] += np.log(c2[some] - 0.5)
-        some = unseen & (c1 > TOP)
-        logs[some] += np.log(c1[some] - 0.5)
-        some = ~last & (c1 > 0)
-        logs[some] -= np.log(c1[some])
-        self.sums[:, 0] += np.bincount(doc, weights=logs, minlength=total)
-        self.sums[:, 1] += np.bincount(doc, weights=np.log(c1 + 0.5), minlength=total)
-        self.asked.append((asked[unseen], doc[unseen]))
+        at = 0
+        for k, (words, pairs) in enumerate(where):
+            size = pairs.stop - pairs.start
+            self.of_pairs[k][pairs] = of_pair[at : at + size]
+            self.of_words[k][words] = of_word[at : at + size][np.cumsum(self.spans[k][words]) - self.spans[k][words]]
+            at += size
+
+    def asked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Contexts of the unseen pairs in order, with the row of the batch and the pair's number within the batch."""
+        parts = [(contexts[new], np.full(len(new), k), first + new) for k, (contexts, counts, first) in enumerate(zip(self.contexts, self.of_pairs, self.first, strict=True)) if len(new := np.flatnonzero(counts == 0))]
+        if not parts:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        contexts, rows, pairs = (np.concatenate(part) for part in zip(*parts, strict=True))
+        order = np.argsort(contexts, kind="stable")
+        return contexts[order], rows[order], pairs[order]
 
     def context_facts(self) -> tuple[np.ndarray, np.ndarray]:
         """Contexts and their numbers over all pieces."""
@@ -227,41 +230,35 @@ class _Shard:
 
 
 def count_shards(pairs: DataFrame, shards: int) -> DataFrame:
-    """Facts of every word shard: documents' sums, contexts' sums, unseen occurrences, counts of counts."""
+    """Facts of every word shard: counts of each batch's pairs, contexts' sums, unseen pairs, counts of counts; home rows as they are."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("batch", ignore_index=True)
         out, number = [], int(rows["shard"].iloc[0])
-        names, ids = rows["batch"].to_numpy(), rows["ids"]
+        if number < 0:
+            out = [("home", 0, row.batch, row.spans, row.uses, row.places, row.words + row.ids) for row in rows.itertuples()]
+            return pd.DataFrame(out, columns=_COLUMNS)
+        rows = rows.sort_values("batch", ignore_index=True)
+        names = rows["batch"].to_numpy()
         shard = _Shard(rows)
         low, high = (-(-(k << 32) // shards) << 32 for k in (number, number + 1))
         edges = [low + (high - low) * k // PIECES for k in range(PIECES)]
         for a, b in zip(edges, [*edges[1:], None], strict=True):
             shard.take(a, b)
-        out.append(("hist", 0, number, None, packed(shard.numbers, "<i8"), None))
+        out.append(("hist", 0, number, None, packed(shard.numbers, "<i8"), None, None))
         keys, facts = shard.context_facts()
         cuts = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
         for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            out += [("context", k, number, *row, None) for row in _by_width(keys[a:b], facts[a:b])]
+            out += [("context", k, number, *row, None, None) for row in _by_width(keys[a:b], facts[a:b])]
         del keys, facts
         shard.seen.clear()
-        for k, name in enumerate(names):
-            here = slice(shard.first[k], shard.first[k + 1])
-            out.append(("doc", 0, int(name), None, packed(shard.counts[here], "<u4"), packed(shard.sums[here], "<f8")))
-            if ids[k] is not None:
-                out.append(("size", 0, int(name), None, ids[k], None))
-        asked, place = (np.concatenate([x[j] for x in shard.asked]) for j in (0, 1)) if shard.asked else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
-        order = np.argsort(asked, kind="stable")
-        asked, place = asked[order], place[order]
-        batch = np.searchsorted(shard.first, place, side="right") - 1
-        where = (names[batch], place - shard.first[batch])
-        shard.asked.clear()
+        out += [("counts", number, int(name), narrowed(of_words), narrowed(of_pairs), None, None) for name, of_words, of_pairs in zip(names, shard.of_words, shard.of_pairs, strict=True)]
+        asked, batch, pair = shard.asked()
         cuts = np.searchsorted(shard_of(asked, shards), np.arange(shards + 1))
         out += [
-            ("ask", k, number, packed(asked[a:b], "<u8"), packed(where[0][a:b], "<i8"), packed(where[1][a:b], "<u4"))
+            ("ask", k, number, packed(asked[a:b], "<u8"), packed(names[batch[a:b]], "<i8"), narrowed(pair[a:b]), None)
             for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b
         ]
-        return pd.DataFrame(out, columns=[x.split()[0] for x in _FACTS.split(", ")])
+        return pd.DataFrame(out, columns=_COLUMNS)
 
     return pairs.groupBy("shard").applyInPandas(run, _FACTS)
 
@@ -289,16 +286,15 @@ class Discounts:
 
 
 def backoff(facts: DataFrame, discounts: Discounts) -> DataFrame:
-    """Per batch, the documents' sums of log(c(h) a(h)) over their unseen pairs, made in the context shards."""
+    """Per batch, log(c(h) a(h)) of its unseen pairs, made in the context shards."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         asks, known = rows[rows["kind"] == "ask"], rows[rows["kind"] == "context"]
-        columns = [x.split()[0] for x in _FACTS.split(", ")]
         if not len(asks):
-            return pd.DataFrame([], columns=columns)
+            return pd.DataFrame([], columns=_COLUMNS)
         asked = np.concatenate([np.frombuffer(raw, "<u8") for raw in asks["keys"]])
         batch = np.concatenate([np.frombuffer(raw, "<i8") for raw in asks["numbers"]])
-        place = np.concatenate([np.frombuffer(raw, "<u4") for raw in asks["sums"]]).astype(np.int64)
+        pair = np.concatenate([widened(raw) for raw in asks["sums"]])
         keys, of = np.unique(asked, return_inverse=True)
         total = np.zeros((len(keys), 2 * TOP + 3))
         for raw, numbers in zip(known["keys"], known["numbers"], strict=True):
@@ -311,34 +307,43 @@ def backoff(facts: DataFrame, discounts: Discounts) -> DataFrame:
         kept = total[:, 1 : TOP + 1] @ discounts.pairs + total[:, TOP + 1] / 2
         below = (total[:, TOP + 2 : 2 * TOP + 2] @ discounts.words + total[:, 2 * TOP + 2] / 2) / max(1, discounts.tokens)
         weight = np.where(tokens > 0, np.log(np.maximum(tokens - kept, 1e-300)) - np.log(np.maximum(1.0 - below, 1e-300)), 0.0)[of]
-        out = []
-        for name in np.unique(batch):
-            some = batch == name
-            docs, number = np.unique(place[some], return_inverse=True)
-            out.append(("backoff", 0, int(name), None, packed(docs, "<u4"), packed(np.bincount(number, weights=weight[some]), "<f8")))
-        return pd.DataFrame(out, columns=columns)
+        order = np.argsort(batch, kind="stable")
+        edges = np.append(starts_of(batch[order]), len(order))
+        some = [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        out = [("weight", 0, int(batch[rows[0]]), narrowed(pair[rows]), None, packed(weight[rows], "<f8"), None) for rows in some]
+        return pd.DataFrame(out, columns=_COLUMNS)
 
     return facts.where(F.col("kind").isin("ask", "context")).groupBy("target").applyInPandas(run, _FACTS)
 
 
 def _finish(facts: DataFrame, discounts: Discounts) -> DataFrame:
-    """Sums per document over all shards, turned into scores with the discounts."""
+    """Each batch adds up the logarithms of its own occurrences per document."""
     columns = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
+    def log_of(counts: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Logarithms of discounted counts; those of no count are not read."""
+        return np.where(counts > TOP, np.log(np.maximum(counts - 0.5, 0.5)), np.log(low)[np.clip(counts - 1, 0, TOP - 1)])
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, valid, tokens = np.frombuffer(rows.loc[rows["kind"] == "size", "numbers"].iloc[0], "<i8").reshape(3, -1)
-        counts, sums = np.zeros((len(ids), _COUNTS)), np.zeros((len(ids), 2))
-        for kind, keys, numbers, values in zip(rows["kind"], rows["keys"], rows["numbers"], rows["sums"], strict=True):
-            if kind == "doc":
-                counts += np.frombuffer(numbers, "<u4").reshape(counts.shape)
-                sums += np.frombuffer(values, "<f8").reshape(sums.shape)
-            elif kind == "backoff":
-                sums[np.frombuffer(numbers, "<u4"), 0] += np.frombuffer(values, "<f8")
-        unknown, known, unseen = counts[:, 2 * TOP], counts[:, 2 * TOP + 1], counts[:, 2 * TOP + 2]
-        total = sums[:, 0] + counts[:, :TOP] @ np.log(discounts.pairs) + counts[:, TOP : 2 * TOP] @ np.log(discounts.words)
-        total += unknown * math.log(discounts.unknown) - (unseen - unknown) * math.log(max(1, discounts.tokens)) - math.log(max(1, discounts.texts))
-        base = sums[:, 1] - tokens * math.log(discounts.tokens + 0.5 * (discounts.types + 1))
-        values = (pd.array(ids, "Int64"), tokens, known.astype(np.int64), discounts.tokens, base / math.log(10), total / math.log(10))
+        home = rows[rows["kind"] == "home"].iloc[0]
+        spans, uses, places = (widened(home[name]) for name in ("keys", "numbers", "sums"))
+        ends = np.frombuffer(home["ids"], "u1", count=len(spans)).astype(bool)
+        ids, valid, tokens = np.frombuffer(home["ids"][len(spans) :], "<i8").reshape(3, -1)
+        counts = rows[rows["kind"] == "counts"].sort_values("target")  # shards are in order of the hash, as the pairs at home are
+        c1, c2 = (np.concatenate([widened(raw) for raw in counts[name]]) for name in ("keys", "numbers"))
+        known, unseen = np.repeat(c1 > 0, spans), c2 == 0
+        single = np.where(c1 > 0, log_of(c1, discounts.words) - math.log(max(1, discounts.tokens)), math.log(discounts.unknown))
+        value = np.where(unseen, np.repeat(single, spans), log_of(c2, discounts.pairs))
+        weights = rows[rows["kind"] == "weight"]
+        for pair, weight in zip(weights["keys"], weights["sums"], strict=True):
+            value[widened(pair)] += np.frombuffer(weight, "<f8")
+        # each token but the end is the context of the next one, whose probability has its count below
+        value -= np.repeat(np.where((c1 > 0) & ~ends, np.log(np.maximum(c1, 1)), 0.0), spans)
+        base = np.repeat(np.log(c1 + 0.5), spans)
+        sums = lambda values: np.bincount(places, weights=np.repeat(values, uses), minlength=len(ids))
+        total = sums(value) - math.log(max(1, discounts.texts))
+        based = sums(base) - tokens * math.log(discounts.tokens + 0.5 * (discounts.types + 1))
+        values = (pd.array(ids, "Int64"), tokens, sums(known).astype(np.int64), discounts.tokens, based / math.log(10), total / math.log(10))
         found = pd.DataFrame(dict(zip(columns, values, strict=True)))
         found.loc[valid == 0, "doc_id"] = pd.NA
         return found
@@ -351,12 +356,12 @@ def score_documents(docs: DataFrame, in_training, shard_bytes: int = SHARD_BYTES
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(LEAST_SHARDS, math.ceil(size / shard_bytes))
     numbered = docs.select("doc_id", "text", in_training.alias("train"))
-    named = stored(count_shards(packed_pairs(numbered, shards), shards), "ngram-facts")
+    named = stored(count_shards(packed_pairs(numbered, shards), shards), "ngram-facts", GROUP_BYTES)
     sums = np.zeros((2, TOP + 6), dtype=np.int64)
     for row in named.where(F.col("kind") == "hist").select("numbers").toLocalIterator():
         sums += np.frombuffer(row["numbers"], "<i8").reshape(sums.shape)
     discounts = Discounts(*sums.tolist())
-    facts = named.where(F.col("kind").isin("doc", "size")).unionByName(backoff(named, discounts))
+    facts = named.where(F.col("kind").isin("home", "counts")).unionByName(backoff(named, discounts))
     return _finish(facts, discounts)
 
 
