@@ -92,3 +92,17 @@ def test_reported_usage_takes_either_field_set(spark):
     frame = spark.createDataFrame([(k, b) for k, b in enumerate(bodies)], "k int, b string")
     found = [r["u"] for r in frame.select("k", ledger.reported_usage(F.col("b")).alias("u")).orderBy("k").collect()]
     assert [u and (u["input_tokens"], u["output_tokens"], u["total_tokens"]) for u in found] == [(3, 4, 7), (3, 4, 7)] + [None] * 7
+
+
+def test_id_rows_of_a_hot_thread_are_long_and_gathered_nowhere(spark):
+    from threadspark.operators import merges
+
+    hot = [("hot", str(k)) for k in range(3_000)] * 2
+    asked = spark.createDataFrame([*hot, ("a", "1"), ("a", None), (None, "1"), (None, "2")], "thread_id string, id string")
+    given = spark.createDataFrame([("hot", str(k)) for k in range(0, 3_000, 3)] + [("b", "1"), (None, "2")], "thread_id string, id string")
+    found = merges.id_rows(asked, given)
+    rows = {(r.thread_id, r.id): r.kind for r in found.collect()}
+    assert found.count() == len(rows) == 3_003
+    assert all(rows["hot", str(k)] == ("shared" if k % 3 == 0 else "missing") for k in range(3_000))
+    assert rows["a", "1"] == rows[None, "1"] == "missing" and rows[None, "2"] == "shared"
+    assert "collect" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -146,6 +146,17 @@ def newest(df: DataFrame, order: list[Column], limit: int | None = None) -> Data
     return ordered if limit is None else ordered.limit(limit)
 
 
+def id_rows(requested: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Each distinct id of ``requested`` (thread_id, id) as a row with kind ``shared`` or ``missing``: the sets for any number of ids.
+
+    Dealt by thread and id, so a large thread is no single task. Null ids are left out.
+    """
+    mine = requested.where(F.col("id").isNotNull()).select("thread_id", "id").distinct()
+    other = accepted.where(F.col("id").isNotNull()).select(F.col("thread_id").alias("_thread"), F.col("id").alias("_id")).distinct()
+    found = mine.join(other, F.col("thread_id").eqNullSafe(F.col("_thread")) & (F.col("id") == F.col("_id")), "left")
+    return found.select("thread_id", "id", F.when(F.col("_id").isNull(), "missing").otherwise("shared").alias("kind"))
+
+
 def missing_ids(requested: Column, accepted: Column) -> Column:
     return F.array_except(requested, accepted)
 

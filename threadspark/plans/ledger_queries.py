@@ -396,3 +396,11 @@ def id_sets(t):
         "thread_id", F.array_join(F.array_sort(merges.missing_ids(F.col("a"), F.col("b"))), ",").alias("missing"),
         F.array_join(F.array_sort(merges.shared_ids(F.col("a"), F.col("b"))), ",").alias("shared"),
     )
+
+
+@query("id_set_rows", """WITH a AS (SELECT DISTINCT user_id AS thread_id, CAST(event_id AS VARCHAR) AS id FROM events WHERE event_id IS NOT NULL),
+   b AS (SELECT DISTINCT user_id AS thread_id, CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS VARCHAR) ELSE 'x' END AS id FROM events)
+   SELECT a.thread_id, a.id, CASE WHEN b.id IS NULL THEN 'missing' ELSE 'shared' END AS kind FROM a LEFT JOIN b ON a.thread_id IS NOT DISTINCT FROM b.thread_id AND a.id = b.id""")
+def id_set_rows(t):
+    rows = t.events.select(F.col("user_id").alias("thread_id"), F.col("event_id").cast("string").alias("id"), "event_id")
+    return merges.id_rows(rows, rows.withColumn("id", F.when(F.col("event_id") % 3 == 0, F.col("id")).otherwise(F.lit("x"))))
