@@ -106,3 +106,14 @@ def test_id_rows_of_a_hot_thread_are_long_and_gathered_nowhere(spark):
     assert all(rows["hot", str(k)] == ("shared" if k % 3 == 0 else "missing") for k in range(3_000))
     assert rows["a", "1"] == rows[None, "1"] == "missing" and rows[None, "2"] == "shared"
     assert "collect" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_payload_bounds_are_arguments(spark, make_replies):
+    from threadspark.operators import payloads
+
+    rows = make_replies(*[("甲", "好" * 350_000)] * 2)
+    titles = spark.createDataFrame([("t", "题")], "thread_id string, title string")
+    assert payloads.build_thread_payloads(rows, titles).first()["status"] == "payload_too_large"
+    whole = payloads.build_thread_payloads(rows, titles, max_bytes=10_000_000, max_tokens=5_000_000).first()
+    assert whole["status"] == "ok" and whole["payload"].count("好" * 350_000) == 2
+    assert payloads.build_thread_payloads(rows, titles, max_bytes=10_000_000, max_tokens=1_000).first()["status"] == "payload_too_large"

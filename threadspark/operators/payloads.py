@@ -155,7 +155,9 @@ def _json_text(value: Column) -> Column:
     return F.substring(F.to_json(F.struct(value.alias("v"))), 6, 2_000_000_000)
 
 
-def build_thread_payloads(replies: DataFrame, titles: DataFrame) -> DataFrame:
+def build_thread_payloads(
+    replies: DataFrame, titles: DataFrame, max_bytes: int = fv.MAX_PAYLOAD_BYTES, max_tokens: int = fv.MAX_PAYLOAD_TOKENS
+) -> DataFrame:
     """One payload per thread: ``thread_id, status, reply_count, payload, bytes, tokens``.
 
     ``titles`` holds ``thread_id, title``.  Threads that leak or exceed the size limit are reported
@@ -178,7 +180,7 @@ def build_thread_payloads(replies: DataFrame, titles: DataFrame) -> DataFrame:
     gate = sizes.join(leaks, "thread_id", "left").select(
         "thread_id", "reply_count", "images",
         F.when(F.col("leaking") > 0, F.lit("privacy_guard"))
-        .when(F.col("least_bytes") > fv.MAX_PAYLOAD_BYTES, F.lit("payload_too_large"))
+        .when(F.col("least_bytes") > max_bytes, F.lit("payload_too_large"))
         .otherwise(F.lit("ok"))
         .alias("gate"),
     )
@@ -225,7 +227,7 @@ def build_thread_payloads(replies: DataFrame, titles: DataFrame) -> DataFrame:
         .withColumn("bytes", F.octet_length("payload").cast("bigint"))
         .withColumn("tokens", estimate_tokens(F.col("payload")))
     )
-    too_large = (F.col("bytes") > fv.MAX_PAYLOAD_BYTES) | (F.col("tokens") > fv.MAX_PAYLOAD_TOKENS)
+    too_large = (F.col("bytes") > max_bytes) | (F.col("tokens") > max_tokens)
     status = F.when(too_large, F.lit("payload_too_large")).otherwise(F.col("gate"))
     return built.select(
         "thread_id", status.alias("status"), "reply_count",
