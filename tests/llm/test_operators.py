@@ -343,6 +343,15 @@ def test_words_of_any_length_are_learnt_in_every_round(spark):
     assert (covered > 0.01).all()  # not the flat distribution of smoothing alone
 
 
+def test_rare_languages_keep_their_rows_when_sampled(spark):
+    ranks = byte_bpe.read_ranks(public_tokenizers.path(byte_bpe.VOCABULARY))
+    rows = [(k, tongue("en", k, 5), "en") for k in range(400)] + [(1_000 + k, tongue("fr", k, 5), "rare") for k in range(10)]
+    frame = spark.createDataFrame([*rows, (2_000, "  ", "blank")], "doc_id long, text string, lang string")
+    model = language_id.fit(frame, ranks, sample=60)
+    alone = language_id.fit(frame.where("lang = 'rare'"), ranks)
+    assert model.languages == ["en", "rare"] and np.allclose(model.chance[:, 1], alone.chance[:, 0])
+
+
 # 9 language model
 
 

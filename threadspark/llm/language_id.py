@@ -6,8 +6,9 @@ with a leading space) is the sum over all its segmentations of the product of it
 a text's is the product over its words. Probabilities start from counts of piece occurrences and are refined by
 expectation-maximisation: forward and backward sums give the expected uses of each piece.
 
-Learning takes labelled rows from the training side: all of them, or if they are more, about ``sample`` rows by hash of
-the id, as a documented bound of the classifier. Sums of a round are at most pieces times languages. Prediction covers
+Learning takes labelled rows from the training side: all of them, or if they are more than ``sample``, of each
+language all rows up to its even share of ``sample``, or else about that many by hash of the id, as a documented bound of
+the classifier. A language without a word in these rows is not in the model. Sums of a round are at most pieces times languages. Prediction covers
 every row and whole texts.
 
 A text that is null or has no letter is ``und`` with score 0; so is every text if no labelled row exists. The score is the
@@ -35,7 +36,7 @@ from threadspark.llm.common import packed, salt_of, stored, table
 LONGEST, SAMPLE, ROUNDS, SMOOTHING, PARTS = 8, 20_000, 2, 0.1, 16
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
-_CHUNK, _MEMO, _BLOCK = 4_096, 150_000, 1_024
+_CHUNK, _MEMO, _BLOCK, _RATE = 4_096, 150_000, 1_024, 1_000_000_000
 _SUMS = "lang string, block long, uses binary"
 
 
@@ -176,9 +177,10 @@ def fit(rows: DataFrame, ranks: dict[bytes, int], sample: int = SAMPLE, rounds:
     labelled = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     per_language = labelled.groupBy("lang").count().toLocalIterator()
     size = {lang: n for lang, n in per_language}
-    total, languages = sum(size.values()), sorted(size)
-    if total > sample:
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample / total))
+    if sum(size.values()) > sample:
+        kept = [(lang, int(_RATE * min(1.0, sample / len(size) / n))) for lang, n in size.items()]
+        rate = F.create_map(*(F.lit(x) for pair in kept for x in pair))
+        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(_RATE)) < rate[F.col("lang")])
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,6 +195,7 @@ def fit(rows: DataFrame, ranks: dict[bytes, int], sample: int = SAMPLE, rounds:
     counted = labelled.select("lang", "text").mapInArrow(count_words, "lang string, word binary, n long")
     # The sample bounds this table, so it is read in a few parts, each of which gives one vector per language.
     words = stored(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words").coalesce(PARTS)
+    languages = sorted(row["lang"] for row in words.select("lang").distinct().toLocalIterator())
     sent_pieces = context.broadcast(pieces)
 
     def uses(chance) -> DataFrame:
