@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators and their SQL counterparts."""
 
-from threadspark.llm import byte_bpe, chat_format, decontaminate, exact_topk, katz_lm, language_id, line_dedup, near_dedup, sharding, token_counts
+from threadspark.llm import byte_bpe, chat_format, decontaminate, exact_topk, katz_lm, language_id, line_dedup, near_dedup, sharding, token_counts, whitening
 
 QUERIES = {
     run.__name__: run
@@ -15,6 +15,7 @@ QUERIES = {
         language_id.op8_language,
         katz_lm.op9_katz_scores,
         byte_bpe.op10_encode_documents,
+        whitening.op11_whiten_embeddings,
     )
 }
 SQL = {
