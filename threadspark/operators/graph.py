@@ -2,13 +2,15 @@
 
 Label hooking with pointer jumping: in every round a component's root takes the smallest
 grandparent label seen from its members, so the number of rounds grows with the logarithm of the
-number of nodes, even on long chains.  Every step is a join or a min, both with partial
-aggregation, so a hub reply does not become one task.
+number of nodes, even on long chains.  Minima are aggregated before they move.  A hub's edges and a
+giant component's members, which all ask for one root, are heavy keys: their rows are dealt over
+copies of the one row they ask for, so no round puts them into one task.
 """
 
 from pyspark.sql import DataFrame, functions as F
 
 from threadspark.operators.ordinals import dense_number
+from threadspark.operators.skew import heavy_keys, skew_join
 from threadspark.session import cut_lineage
 
 
@@ -18,12 +20,13 @@ def connected_components(nodes: DataFrame, edges: DataFrame, scope: list[str]) -
     ``edges`` holds ``scope…, src, dst`` in both directions.
     """
     edges = cut_lineage(edges.select(*scope, "src", "dst"))
+    hubs = cut_lineage(heavy_keys(edges, [*scope, "dst"]))
     state = cut_lineage(
         nodes.select(*scope, "node", F.col("node").alias("parent"), F.col("node").alias("grand"))
     )
     while True:
         seen = (
-            edges.join(state.select(*scope, F.col("node").alias("dst"), "grand"), [*scope, "dst"])
+            skew_join(edges, state.select(*scope, F.col("node").alias("dst"), "grand"), [*scope, "dst"], ["src"], heavy=hubs)
             .groupBy(*scope, F.col("src").alias("node"))
             .agg(F.min("grand").alias("near"))
         )
@@ -38,9 +41,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame, scope: list[str]) -
             ).alias("offer"),
         )
         hooked = offers.groupBy(*scope, F.col("offer.to").alias("node")).agg(F.min("offer.label").alias("parent"))
+        hooked = cut_lineage(hooked)
         above = hooked.select(*scope, F.col("node").alias("parent"), F.col("parent").alias("grand"))
         before = state.select(*scope, "node", F.col("grand").alias("old"))
-        stepped = cut_lineage(hooked.join(above, [*scope, "parent"]).join(before, [*scope, "node"]))
+        stepped = cut_lineage(skew_join(hooked, above, [*scope, "parent"], ["node"]).join(before, [*scope, "node"]))
         changed = stepped.filter(F.col("grand") != F.col("old")).limit(1).count()
         state = stepped.select(*scope, "node", "parent", "grand")
         if changed == 0:
