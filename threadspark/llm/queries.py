@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators and their SQL counterparts."""
 
-from threadspark.llm import byte_bpe, chat_format, collocations, decontaminate, exact_topk, katz_lm, language_id, line_dedup, near_dedup, sharding, token_counts, whitening
+from threadspark.llm import byte_bpe, chat_format, collocations, decontaminate, exact_topk, katz_lm, language_id, line_dedup, near_dedup, sharding, simhash, token_counts, whitening
 
 QUERIES = {
     run.__name__: run
@@ -16,6 +16,7 @@ QUERIES = {
         katz_lm.op9_katz_scores,
         byte_bpe.op10_encode_documents,
         whitening.op11_whiten_embeddings,
+        simhash.op12_simhash_groups,
         collocations.op13_mine_phrases,
     )
 }
