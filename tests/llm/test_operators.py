@@ -404,3 +404,17 @@ def test_ids_equal_the_library_and_decode(spark):
         assert bytes(row["decoded"]) == text.encode() and row["shard"] == "y"
     assert byte_bpe.encode_documents(docs.limit(0), ranks, public_tokenizers.PATTERN).count() == 0
     assert hashlib.sha256(b"").hexdigest() == byte_bpe.encode_documents(docs.limit(1), ranks, public_tokenizers.PATTERN).select(F.sha2("ids", 256)).first()[0]
+
+
+def test_round_trip_equals_two_passes_and_refuses_other_patterns(spark):
+    ranks = byte_bpe.read_ranks(public_tokenizers.path(byte_bpe.VOCABULARY))
+    docs = make_docs(spark, ODD)
+    two = byte_bpe.decode_documents(byte_bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
+    expected = {row["doc_id"]: (row["ids"], row["decoded"]) for row in two.collect()}
+    for memo in (3, 1_000):
+        found = byte_bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, memo)
+        assert "text" not in found.columns and {row["doc_id"]: (row["ids"], row["decoded"]) for row in found.collect()} == expected
+    checked = byte_bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, whole=False)
+    assert all(row["round_trip"] for row in checked.collect()) and byte_bpe.round_trip(docs.limit(0), ranks, public_tokenizers.PATTERN).count() == 0
+    with pytest.raises(ValueError):
+        byte_bpe.Codec(ranks, r"\p{L}|\s|.")

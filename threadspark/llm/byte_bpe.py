@@ -7,6 +7,11 @@ marked as dead, so each place is left at most once and the work is linear. The r
 
 A text is cut before every space that has a non-space after it: each match of the splitting pattern begins anew there, so
 the parts are independent and their ids can be memoised. The memo is bounded and holds no state that decides a result.
+This holds for the public pattern, the only one that is taken.
+
+Null and empty text have no ids and decode to nothing. A text has one encoding, so there are no ties; texts of any length
+are encoded whole. Rows stay as they are, repeated ones too; own columns named like an added one are replaced. Empty input
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadspark.llm.common import table
+from threadspark.llm.common import give_back, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 _PART, _UNEVEN = re.compile(r"(?= \S)"), re.compile(r" (?:\s|\Z)")
@@ -40,8 +45,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Encoder and decoder of one vocabulary; built once per task from its ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.pattern = regex.compile(pattern)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = MEMO):
+        if pattern != public_tokenizers.PATTERN:
+            raise ValueError("texts are cut at spaces and letters as this pattern does; another one needs cuts of its own")
+        self.pattern, self.size = regex.compile(pattern), memo
         self.ids = {token.decode("latin-1"): rank for token, rank in ranks.items()}
         self.bytes = {rank: token for token, rank in ranks.items()}
         self.pairs: dict[tuple[int, int], int] = {}
@@ -102,7 +109,7 @@ class Codec:
                 before, a = a, self.halves[a][1]
             else:
                 before, b = b + 1, self.halves[b][0]
-        if len(self.kept) >= MEMO:
+        if len(self.kept) >= self.size:
             self.kept.clear()
         self.kept[left, right] = answer
         return answer
@@ -146,7 +153,7 @@ class Codec:
             )
         memo = self.memo[spaced]
         if len(part) <= MEMO_LENGTH:
-            if len(memo) >= MEMO:
+            if len(memo) >= self.size:
                 memo.clear()
             memo[part] = made
         return made
@@ -173,10 +180,7 @@ class Codec:
 
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """``docs`` with ``ids``: little-endian unsigned 32-bit integers of the whole text.
-
-    Null and empty text have no ids. Rows stay as they are, repeated ones too; an own column ``ids`` is replaced.
-    """
+    """``docs`` with ``ids``: little-endian unsigned 32-bit integers of the whole text."""
     sent = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
     kept = [field for field in docs.schema.fields if field.name != "ids"]
 
@@ -207,12 +211,35 @@ def decode_documents(rows: DataFrame, ranks: dict[bytes, int], pattern: str) ->
     return rows.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, T.StructType([*kept, T.StructField("decoded", T.BinaryType())]))
 
 
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, memo: int = MEMO, whole: bool = True) -> DataFrame:
+    """``docs`` without text, with ``ids`` and what these decode to, in one pass: ``decoded``, the bytes, or if not
+    ``whole`` only ``round_trip``, whether they are the text's. No text leaves the task."""
+    sent = docs.sparkSession.sparkContext.broadcast((ranks, pattern, memo))
+    last = T.StructField("decoded", T.BinaryType()) if whole else T.StructField("round_trip", T.BooleanType())
+    kept = [field for field in docs.schema.fields if field.name not in ("text", "ids", last.name)]
+    names = [*(field.name for field in kept), "ids", last.name]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(*sent.value)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1_000):
+                part = batch.slice(k, 1_000)
+                texts = [text or "" for text in part.column("text").to_pylist()]
+                ids = list(map(codec.encode, texts))
+                read = map(codec.decode, ids)
+                found = pa.array(list(read), pa.binary()) if whole else pa.array([raw == text.encode() for raw, text in zip(read, texts, strict=True)])
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(ids, pa.binary()), found], names)
+        del codec
+        give_back()
+
+    read = docs.select(*(F.col(f"`{f.name}`") for f in kept), "text")
+    return read.mapInArrow(run, T.StructType([*kept, T.StructField("ids", T.BinaryType()), last]))
+
+
 def op10_encode_documents(spark: SparkSession, folder: str) -> DataFrame:
     ranks = read_ranks(public_tokenizers.path(VOCABULARY))
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    encoded = encode_documents(docs, ranks, public_tokenizers.PATTERN).drop("text")
-    decoded = decode_documents(encoded, ranks, public_tokenizers.PATTERN)
-    return decoded.select(
+    found = round_trip(table(spark, folder, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    return found.select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadspark.llm.byte_bpe import VOCABULARY, read_ranks
-from threadspark.llm.common import packed, salt_of, stored, table
+from threadspark.llm.common import give_back, packed, salt_of, stored, table
 
 LONGEST, SAMPLE, ROUNDS, SMOOTHING, PARTS = 8, 20_000, 2, 0.1, 16
 UNKNOWN = "und"
@@ -274,6 +274,8 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred"
                     found[k], scores[k] = languages[best], 1.0 / np.exp(values - values[best]).sum()
             arrays = [*(batch.column(k) for k in range(len(kept))), pa.array(found, pa.string()), pa.array(scores)]
             yield pa.RecordBatch.from_arrays(arrays, schema.names)
+        del scorer
+        give_back()
 
     return docs.select(*(F.col(f"`{field.name}`") for field in kept)).mapInArrow(run, schema)
 
