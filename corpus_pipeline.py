@@ -11,6 +11,8 @@ from threadspark.llm.common import salt_of, stored, table
 
 # Near duplicates in the pipeline: five words, a similarity of 0.8 or more.
 NEAR_WORDS, NEAR_THRESHOLD = 5, 80
+# Memoised parts of texts; fewer than in the query, as workers hold memory of earlier stages.
+MEMO = 100_000
 # Names of working columns that no input has.
 OWN = ("_pipeline_first", "_pipeline_second")
 
@@ -48,13 +50,8 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
     ranks = byte_bpe.read_ranks(public_tokenizers.path(byte_bpe.VOCABULARY))
-    encoded = byte_bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN)
-    decoded = byte_bpe.decode_documents(encoded, ranks, public_tokenizers.PATTERN)
-    whole = F.coalesce("text", F.lit("")).cast("binary")
-    return decoded.select(
-        "doc_id", "lang", "source", "n_chars", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
-        (F.col("decoded") == whole).alias("round_trip"),
-    )
+    found = byte_bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, MEMO, whole=False)
+    return found.select("doc_id", "lang", "source", "n_chars", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [
