@@ -36,7 +36,7 @@ from threadspark.llm.common import give_back, packed, salt_of, stored, table
 LONGEST, SAMPLE, ROUNDS, SMOOTHING, PARTS = 8, 20_000, 2, 0.1, 16
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
-_CHUNK, _MEMO, _BLOCK, _RATE = 4_096, 150_000, 1_024, 1_000_000_000
+_CHUNK, _MEMO, _BLOCK, _RATE, _ROWS = 4_096, 150_000, 1_024, 1_000_000_000, 500
 _SUMS = "lang string, block long, uses binary"
 
 
@@ -191,6 +191,7 @@ def fit(rows: DataFrame, ranks: dict[bytes, int], sample: int = SAMPLE, rounds:
             langs, words = ([key[k] for key in counts] for k in (0, 1))
             arrays = [pa.array(langs, pa.string()), pa.array(words, pa.binary()), pa.array(list(counts.values()), pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["lang", "word", "n"])
+        give_back()
 
     counted = labelled.select("lang", "text").mapInArrow(count_words, "lang string, word binary, n long")
     # The sample bounds this table, so it is read in a few parts, each of which gives one vector per language.
@@ -220,6 +221,7 @@ def fit(rows: DataFrame, ranks: dict[bytes, int], sample: int = SAMPLE, rounds:
                 blocks = [packed(total[k : k + _BLOCK], "<f8") for k in range(0, pieces.size, _BLOCK)]
                 arrays = [pa.array([lang] * len(blocks), pa.string()), pa.array(range(len(blocks)), pa.int64()), pa.array(blocks, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["lang", "block", "uses"])
+            give_back()
 
         return words.mapInArrow(run, _SUMS)
 
@@ -264,14 +266,13 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         languages = scorer.model.languages
-        for batch in batches:
+        for batch in (whole.slice(k, _ROWS) for whole in batches for k in range(0, whole.num_rows, _ROWS)):
             texts = batch.column("text").to_pylist()
             found, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
             known = [k for k, text in enumerate(texts) if languages and text and _LETTER.search(text)]
-            for part in np.array_split(known, max(1, len(known) // 500)) if known else []:
-                for k, values in zip(part, scorer.score([texts[k] for k in part]), strict=True):
-                    best = int(np.argmax(values))
-                    found[k], scores[k] = languages[best], 1.0 / np.exp(values - values[best]).sum()
+            for k, values in zip(known, scorer.score([texts[k] for k in known]) if known else (), strict=True):
+                best = int(np.argmax(values))
+                found[k], scores[k] = languages[best], 1.0 / np.exp(values - values[best]).sum()
             arrays = [*(batch.column(k) for k in range(len(kept))), pa.array(found, pa.string()), pa.array(scores)]
             yield pa.RecordBatch.from_arrays(arrays, schema.names)
         del scorer
