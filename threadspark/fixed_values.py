@@ -175,8 +175,12 @@ LEGACY_REPORT_LISTS = [
     "coverageNotes", "reviewPriorities",
 ]
 
+OVERVIEW_LENGTH = 240
+LEGACY_OVERVIEW_LENGTH, LEGACY_ITEM_LENGTH, LEGACY_ITEMS = 20_000, 4_000, 100
+
 # Providers and endpoint rules.
 DEFAULT_PROVIDER = "alibaba"
+PROVIDERS = ["alibaba", "deepseek"]
 PROVIDER_HOSTS = {"api.deepseek.com": "deepseek"}
 CREDENTIAL_QUERY_KEYS = [
     "apikey", "key", "xapikey", "subscriptionkey", "accesstoken", "token", "secret",
@@ -208,6 +212,7 @@ REPLY_ID = (
     r"|kr-(?:lzl(?:-temp)?|comment-temp)-[A-Za-z0-9-]{16,120})$"
 )
 SAFE_VERSION = r"^[0-9]{1,4}\.[0-9]{1,4}(?:\.[0-9]{1,4})?(?:-[A-Za-z0-9.-]{1,32})?$"
+ISO_TIME = r"^[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])T(?:[01][0-9]|2[0-3]):[0-5][0-9](?::[0-5][0-9](?:\.[0-9]+)?)?(?:Z|[+-](?:[01][0-9]|2[0-3]):[0-5][0-9])$"
 VERSION_TAG = r"^[A-Za-z0-9._-]{1,64}$"
 ATTEMPT_ID = r"^[A-Za-z0-9:_-]{1,128}$"
 FINDING_ID = r"^[A-Za-z0-9:_-]{1,200}$"

@@ -127,6 +127,11 @@ def removal_notice(text: Column) -> Column:
     return F.regexp_extract(clean_text(text), fv.REMOVAL_NOTICE, 0)
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` names it; keeps nested expressions small."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 # --- numbers and ids -------------------------------------------------------------------------
 
 
@@ -335,10 +340,14 @@ def first_sentences(value: Column, count: int) -> Column:
 def sanitize_prose(value: Column, limit: int, max_sentences: int | None = None) -> Column:
     """Neutral words instead of protocol tokens, then a safe cut; null when nothing is left."""
     text = value if max_sentences is None else first_sentences(value, max_sentences)
-    text = F.regexp_replace(text, fv.REPLY_TOKEN, fv.TOKEN_WORDS["reply"])
+    return truncate_safe(sanitize_tokens(text), limit)
+
+
+def sanitize_tokens(value: Column) -> Column:
+    """Neutral words instead of protocol tokens."""
+    text = F.regexp_replace(value, fv.REPLY_TOKEN, fv.TOKEN_WORDS["reply"])
     text = F.regexp_replace(text, fv.AUTHOR_TOKEN, fv.TOKEN_WORDS["author"])
-    text = F.regexp_replace(text, fv.RULE_TOKEN, fv.TOKEN_WORDS["rule"])
-    return truncate_safe(text, limit)
+    return F.regexp_replace(text, fv.RULE_TOKEN, fv.TOKEN_WORDS["rule"])
 
 
 def segment_narrative(value: Column) -> Column:

@@ -3,9 +3,11 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from threadspark import fixed_values as fv
-from threadspark.functions.text import nfkc, parse_number, reply_label, reply_location, squeeze, trim, truncate_safe
+from threadspark.functions.text import bound, nfkc, reply_label, reply_location, squeeze, trim, truncate_safe
 from threadspark.functions.urls import canonical_thread_url, thread_id_from_url
 from threadspark.operators.ordinals import top_per_group
+from threadspark.operators.shapes import gathered_issues, shape_issues
+from threadspark.shape_library import FINDING_ANSWER
 
 ANY_REFERENCE = f"{fv.FLOOR_REFERENCE}|{fv.REPLY_TOKEN}|{fv.AUTHOR_TOKEN}"
 
@@ -90,69 +92,103 @@ def resolve_refs(texts: DataFrame, labels: DataFrame, author_components: DataFra
     return filled.select("text_id", "thread_id", rebuilt.alias("shown"), F.coalesce(ids, F.array().cast("array<string>")).alias("reply_ids"))
 
 
-def normalize_narrative(values_json: Column, limit: int, max_items: int, headings: list[str] | None = None) -> Column:
-    """Prose list of older answers: strings, or objects of which only listed fields are used.
+def normalize_narrative(
+    values_json: Column, limit: int, max_items: int, headings: list[str] | None = None, first_fields: list[str] | None = None
+) -> Column:
+    """Prose list of older answers: strings, or objects of which only listed fields are used (``first_fields`` before the common ones).
 
     Items that do not fit are counted, and the count is told in the last slot.
     """
-    headings = headings or []
-    items = F.from_json(values_json, "array<string>")
+    names, none = {"head": headings or [], "body": [*(first_fields or []), *fv.NARRATIVE_TEXT_FIELDS]}, F.array().cast("array<string>")
+    singles, lists = ([name for name, many in fv.NARRATIVE_REF_FIELDS if many == wanted] for wanted in (False, True))
 
-    def texts(item, names):
-        values = F.array_compact(F.array(*[F.nullif(trim(F.get_json_object(item, f"$.{name}")), F.lit("")) for name in names])) if names else F.array().cast("array<string>")
-        return F.array_distinct(values)
+    def values(fields, wanted):
+        found = F.transform(F.array(*map(F.lit, wanted)), lambda name: F.try_element_at(fields, name))
+        return F.filter(found, lambda v: v.isNotNull() & ~F.is_variant_null(v)) if wanted else F.array().cast("array<variant>")
 
-    def references(item):
-        lists = [
-            F.coalesce(F.from_json(F.get_json_object(item, f"$.{name}"), "array<string>"), F.array().cast("array<string>")) if many
-            else F.array_compact(F.array(F.get_json_object(item, f"$.{name}")))
-            for name, many in fv.NARRATIVE_REF_FIELDS
-        ]
-        return F.array_distinct(F.concat(*lists))
+    def is_text(v):
+        return F.schema_of_variant(v) == "STRING"
+
+    def as_text(v):
+        return F.try_variant_get(v, "$", "string")
+
+    def texts(found):
+        return F.array_distinct(F.filter(F.transform(found, lambda v: trim(as_text(v))), lambda text: text != ""))
+
+    def referenced(found):
+        many = F.transform(found, lambda v: F.when(is_text(v), F.array(as_text(v))).otherwise(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda r: F.when(is_text(r), as_text(r)).otherwise("?"))))
+        return F.array_distinct(F.flatten(many))
+
+    def as_object(fields):
+        parts = F.struct(
+            values(fields, names["head"]).alias("head"), values(fields, names["body"]).alias("body"),
+            values(fields, singles).alias("single"), values(fields, lists).alias("many"),
+        )
+
+        def told(part):
+            wrong = F.exists(F.concat(part["head"], part["body"], part["single"]), lambda v: ~is_text(v))
+            wrong |= F.exists(part["many"], lambda v: ~F.coalesce(F.size(F.try_variant_get(v, "$", "array<variant>")).between(0, 50), F.lit(False)))
+            prose = F.struct(
+                F.array_join(texts(part["head"]), " / ").alias("head"), F.array_join(texts(part["body"]), "；").alias("body"),
+                referenced(F.concat(part["single"], part["many"])).alias("refs"),
+            )
+            return F.when(~wrong, bound(prose, cited))
+
+        def cited(p):
+            text = F.when((p["head"] != "") & (p["body"] != ""), F.concat_ws("：", p["head"], p["body"])).otherwise(F.concat(p["head"], p["body"]))
+            sound = (F.concat(p["head"], p["body"]) != "") & ~F.exists(p["refs"], lambda r: ~r.rlike("^[PU][0-9]{1,9}$"))
+            return F.when(sound, F.when(F.size(p["refs"]) > 0, F.concat(F.lit("相关对象："), F.array_join(p["refs"], "、"), F.lit("；"), text)).otherwise(text))
+
+        return bound(parts, told)
 
     def normal(item):
-        head, body, refs = F.array_join(texts(item, headings), " / "), F.array_join(texts(item, fv.NARRATIVE_TEXT_FIELDS), "；"), references(item)
-        prose = F.when((head != "") & (body != ""), F.concat_ws("：", head, body)).otherwise(F.concat(head, body))
-        sound = (prose != "") & (F.size(refs) <= 50) & ~F.exists(refs, lambda r: ~r.rlike("^[PU][0-9]{1,9}$"))
-        cited = F.when(F.size(refs) > 0, F.concat(F.lit("相关对象："), F.array_join(refs, "、"), F.lit("；"), prose)).otherwise(prose)
-        as_object = F.when(sound, truncate_safe(cited, limit))
-        kind = F.when(F.try_parse_json(item).isNotNull() & item.rlike(r"^\s*[\[{]"), F.when(item.rlike(r"^\s*\{"), as_object)).otherwise(truncate_safe(item, limit))
-        return kind
-
-    accepted = F.array_compact(F.transform(items, normal))
-    ignored = F.size(items) - F.least(F.size(accepted), F.lit(max_items))
-    kept = F.when(ignored > 0, F.slice(accepted, 1, max_items - 1)).otherwise(accepted)
-    lost = F.size(items) - F.size(kept)
-    told = F.concat(F.lit("有"), lost, F.lit("条格式异常说明已忽略。"))
-    result = F.when(ignored > 0, F.concat(kept, F.array(told))).otherwise(kept)
-    return (
-        F.when(values_json.isNull(), F.array().cast("array<string>"))
-        .when(~values_json.rlike(r"^\s*\["), F.array(F.lit("有1条格式异常说明已忽略。")))
-        .otherwise(result)
-    )
+        text = F.when(is_text(item), as_text(item)).when(
+            F.schema_of_variant(item).startswith("OBJECT"), bound(F.try_variant_get(item, "$", "map<string,variant>"), as_object)
+        )
+        return bound(text, lambda one: truncate_safe(one, limit))
+
+    def numbered(state):
+        total, accepted = state["total"], state["accepted"]
+        kept = F.when(total > F.least(F.size(accepted), F.lit(max_items)), F.slice(accepted, 1, max_items - 1)).otherwise(accepted)
+        lost = bound(kept, lambda k: F.when(total > F.size(k), F.concat(k, F.array(F.concat(F.lit("有"), total - F.size(k), F.lit("条格式异常说明已忽略。"))))).otherwise(k))
+        return F.when(total.isNull(), F.array(F.lit("有1条格式异常说明已忽略。"))).otherwise(lost)
+
+    def whole(json):
+        state = bound(items_of(json), lambda found: F.struct(F.when(found.isNotNull(), F.size(found)).alias("total"), F.array_compact(F.transform(found, normal)).alias("accepted")))
+        return F.when(json.isNull() | (trim(json) == "null"), none).otherwise(bound(state, numbered))
+
+    def items_of(json):  # a JSON text and a JSON number look alike once they are strings, so items stay variants
+        return F.try_variant_get(F.try_parse_json(json), "$", "array<variant>")
 
+    return bound(values_json, whole)
 
-def parse_finding_results(answers: DataFrame, selected: DataFrame, allowed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(answers with ``reject_code``, kept reply ids, kept reasons) of one-finding answers.
 
-    ``selected`` holds ``selection_id, id`` and ``allowed`` holds ``selection_id, reason_id``.
+def parse_finding_results(answers: DataFrame, selected: DataFrame, allowed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(answers with ``reject_code`` and ``issues``, kept reply ids, kept reasons, kept evidence) of one-finding answers.
+
+    The shape is strict: other keys, other types and longer lists or texts than asked for reject an answer.
+    ``selected`` holds ``selection_id, id`` and ``allowed`` holds ``selection_id, reason_id``; ids and evidence of other replies
+    and other reasons are left out.
     """
     schema = (
-        "summary string, type string, score string, replyIds array<string>, evidence array<struct<replyId:string,explanation:string>>,"
-        "reasonCandidates array<struct<reasonId:string,confidence:string,rationale:string>>, uncertainties array<string>"
-    )
-    rows = answers.withColumn("doc", F.from_json("content", schema))
-    score = parse_number(F.col("doc.score"))
-    bad = (
-        ~F.coalesce(F.length(trim(F.col("doc.summary"))).between(1, 1500), F.lit(False)) | ~F.coalesce(score.between(0, 100), F.lit(False))
-        | ~F.coalesce(F.col("doc.type").isin(*fv.ALL_RISK_TYPES, "none"), F.lit(False)) | ~F.coalesce(F.size("doc.replyIds") <= 100, F.lit(False))
-        | F.col("doc.evidence").isNull() | F.col("doc.reasonCandidates").isNull() | F.col("doc.uncertainties").isNull()
+        "summary string, type string, score double, replyIds array<string>, evidence array<struct<replyId:string,explanation:string>>,"
+        "reasonCandidates array<struct<reasonId:string,confidence:double,rationale:string>>, uncertainties array<string>"
     )
-    rows = rows.withColumn("reject_code", F.when(F.try_parse_json("content").isNull(), "not_json").when(bad, "schema"))
+    value = F.try_parse_json("content")
+    issues = gathered_issues(shape_issues(answers, ["selection_id"], value, FINDING_ANSWER), ["selection_id"])
+    rows = answers.withColumn("doc", F.from_json("content", schema)).join(issues, "selection_id", "left")
+    code = F.when(value.isNull(), "not_json").when(F.col("issues").isNotNull(), "schema")
+    rows = rows.withColumn("reject_code", code).withColumn("issues", F.coalesce("issues", F.array().cast("array<string>")))
     good = rows.filter(F.col("reject_code").isNull())
     ids = good.select("selection_id", F.explode(F.array_distinct("doc.replyIds")).alias("id")).join(selected, ["selection_id", "id"], "left_semi")
-    reasons = good.select("selection_id", F.explode("doc.reasonCandidates").alias("r")).select("selection_id", F.col("r.reasonId").alias("reason_id"), F.col("r.confidence").try_cast("double").alias("confidence"))
-    return rows, ids, reasons.join(allowed, ["selection_id", "reason_id"], "left_semi")
+    reasons = good.select("selection_id", F.posexplode("doc.reasonCandidates").alias("reason_no", "r")).select(
+        "selection_id", "reason_no", F.col("r.reasonId").alias("reason_id"), F.col("r.confidence").alias("confidence"), trim(F.col("r.rationale")).alias("rationale")
+    )
+    evidence = good.select("selection_id", F.posexplode("doc.evidence").alias("evidence_no", "e")).select(
+        "selection_id", "evidence_no", F.col("e.replyId").alias("id"), trim(F.col("e.explanation")).alias("explanation")
+    )
+    kept = reasons.join(allowed, ["selection_id", "reason_id"], "left_semi"), evidence.join(selected, ["selection_id", "id"], "left_semi")
+    return rows, ids, *kept
 
 
 def pending_human_checks(parsed: DataFrame) -> DataFrame:

@@ -4,17 +4,20 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadspark import fixed_values as fv
 from threadspark.functions.text import (
-    enum_alias, known_enums, parse_confidence, parse_number, repeat_key, reply_excerpt, sanitize_prose, trim, truncate_safe,
+    bound, enum_alias, known_enums, parse_confidence, parse_number, repeat_key, reply_excerpt, sanitize_prose, sanitize_tokens, trim, truncate_safe,
 )
 from threadspark.operators.graph import connected_components
 from threadspark.operators.ordinals import first_per_key
+from threadspark.operators.reports import normalize_narrative, resolve_refs
+from threadspark.operators.shapes import gathered_issues, shape_issues
 from threadspark.session import cut_lineage
+from threadspark.shape_library import ANSWER_LEGACY, ANSWER_V3
 
 ITEM = "struct<title:string,summary:string,replyIds:array<string>>"
 RESULT = (
     "protocolVersion string, summary string, uncertainties string, findings array<struct<type:string,severity:string,score:string,"
     "summary:string,offendingReplyIds:array<string>,contextReplyIds:array<string>,evidence:array<struct<replyId:string,explanation:string>>,"
-    "primaryReasonId:string,confidence:string,rationale:string,uncertainties:array<string>>>, report struct<overview:string,"
+    "primaryReasonId:string,confidence:string,rationale:string,uncertainties:string>>, report struct<overview:string,"
     f"stages:array<{ITEM}>,interactions:array<{ITEM}>,notes:array<struct<kind:string,title:string,summary:string,replyIds:array<string>>>,"
     "discussionOverview:string," + ",".join(f"{name}:string" for name in fv.LEGACY_REPORT_LISTS) + ">"
 )
@@ -38,11 +41,22 @@ def result_protocol(json_text: Column) -> Column:
     return F.when(flagged | marks[0] | marks[1] | marks[2] | marks[3], F.lit(3)).otherwise(F.lit(2))
 
 
+def answer_issues(answers: DataFrame) -> DataFrame:
+    """``attempt_id, path, kind`` of ``attempt_id, json_text, protocol``: types, lists and texts against the protocol's shape."""
+    parts = [
+        shape_issues(answers.filter(F.col("protocol") == protocol), ["attempt_id"], F.try_parse_json("json_text"), shape)
+        for protocol, shape in ((3, ANSWER_V3), (2, ANSWER_LEGACY))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def parse_results(model_results: DataFrame) -> DataFrame:
     """Parses ``attempt_id, thread_id, content, finish_reason``; adds ``doc``, ``protocol``, ``reject_code``
     and all ``issues`` (field path and kind; unknown keys are never echoed)."""
-    rows = model_results.withColumn("json_text", decode_result_json(F.col("content")))
-    rows = rows.withColumn("doc", F.from_json("json_text", RESULT)).withColumn("protocol", result_protocol(F.col("json_text")))
+    # exploded, so that a text is decoded and parsed once and not in every check
+    rows = model_results.withColumn("json_text", F.explode(F.array(decode_result_json(F.col("content")))))
+    read = F.struct(F.from_json("json_text", RESULT).alias("doc"), result_protocol(F.col("json_text")).alias("protocol"))
+    rows = rows.withColumn("_read", F.explode(F.array(read))).withColumns({"doc": F.col("_read.doc"), "protocol": F.col("_read.protocol")}).drop("_read")
     found = F.col("doc.findings")
     rows = rows.withColumns({
         "known_types": known_enums(F.col("doc.findings.type"), fv.TYPE_ALIASES),
@@ -76,8 +90,11 @@ def parse_results(model_results: DataFrame) -> DataFrame:
             issue((F.col("protocol") == 3) & F.col("doc.report.overview").isNull(), "report.overview", "missing"),
         )
     )
-    issues = F.concat(top, F.coalesce(F.flatten(F.transform(found, per_finding)), F.array().cast("array<string>")))
-    rows = rows.withColumn("issues", F.coalesce(issues, F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    issues = F.concat(top, F.coalesce(F.flatten(F.transform(found, per_finding)), none))
+    shaped = gathered_issues(answer_issues(rows), ["attempt_id"], "shape_issues")
+    rows = rows.withColumn("issues", F.coalesce(issues, none)).join(shaped, "attempt_id", "left")
+    rows = rows.withColumn("issues", F.array_distinct(F.concat("issues", F.coalesce("shape_issues", none)))).drop("shape_issues")
     reject = (
         F.when(F.col("finish_reason") == "length", "truncated_output")
         .when(F.coalesce(trim(F.col("content")), F.lit("")) == "", "empty_content")
@@ -87,6 +104,14 @@ def parse_results(model_results: DataFrame) -> DataFrame:
     return rows.withColumn("reject_code", reject).drop("known_types", "known_severities")
 
 
+def clean_notes(values_json: Column, most: int, limit: int) -> Column:
+    """The first ``most`` texts of a JSON list, cleaned and cut; what is no text, or blank when cleaned, is left out."""
+    items = F.try_variant_get(F.try_parse_json(values_json), "$", "array<variant>")
+    texts = F.transform(F.filter(items, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.try_variant_get(v, "$", "string"))
+    cleaned = F.filter(F.transform(texts, lambda text: bound(sanitize_tokens(text), lambda t: truncate_safe(t, limit))), lambda text: text.isNotNull())
+    return F.coalesce(F.slice(cleaned, 1, most), F.array().cast("array<string>"))
+
+
 def candidates(parsed: DataFrame, rules: DataFrame) -> DataFrame:
     """One row per finding of accepted answers, with normalised enums, numbers and prose."""
     rows = parsed.filter(F.col("reject_code").isNull()).select(
@@ -106,7 +131,7 @@ def candidates(parsed: DataFrame, rules: DataFrame) -> DataFrame:
         F.col("f.primaryReasonId").alias("reason_id"), F.col("f.offendingReplyIds").alias("offending"),
         F.coalesce("f.contextReplyIds", F.array().cast("array<string>")).alias("context"),
         F.coalesce("f.evidence", F.array().cast("array<struct<replyId:string,explanation:string>>")).alias("evidence"),
-        F.coalesce("f.uncertainties", F.array().cast("array<string>")).alias("uncertainties"),
+        F.when(v3, clean_notes(F.col("f.uncertainties"), 3, 160)).otherwise(normalize_narrative(F.col("f.uncertainties"), 500, 20)).alias("uncertainties"),
     )
     rows = rows.join(known, "reason_id", "left").withColumn("known_rule", F.coalesce("known_rule", F.lit(False)))
     return cut_lineage(rows)
@@ -222,7 +247,65 @@ def report_notes(
 def report_overview(parsed: DataFrame) -> DataFrame:
     """``attempt_id, overview`` of version 3 answers."""
     v3 = parsed.filter(F.col("reject_code").isNull() & (F.col("protocol") == 3))
-    return v3.select("attempt_id", sanitize_prose(F.col("doc.report.overview"), 180, 2).alias("overview"))
+    return v3.select("attempt_id", sanitize_prose(F.col("doc.report.overview"), fv.OVERVIEW_LENGTH).alias("overview"))
+
+
+def _legacy(parsed: DataFrame) -> DataFrame:
+    return parsed.filter(F.col("reject_code").isNull() & (F.col("protocol") == 2))
+
+
+def legacy_report(parsed: DataFrame) -> DataFrame:
+    """Report texts of older answers: ``attempt_id, thread_id, section, item_no, text``.
+
+    A report that is a bare text is its overview; one that is neither text nor object has no rows.  Items are texts, or
+    objects whose known fields are joined.
+    """
+    report = F.try_variant_get(F.try_parse_json("json_text"), "$.report", "variant")
+    kind = F.schema_of_variant(report)
+    rows = _legacy(parsed).select("attempt_id", "thread_id", report.alias("report"), kind.alias("kind"))
+    rows = rows.filter((F.col("kind") == "STRING") | F.col("kind").startswith("OBJECT"))
+
+    def json_of(value):
+        return F.when(~F.is_variant_null(value), F.to_json(value))
+
+    def part(name):
+        return F.try_variant_get("report", f"$.{name}", "variant")
+
+    def one_item(value):
+        blank = (F.schema_of_variant(value) == "STRING") & (trim(F.try_variant_get(value, "$", "string")) == "")
+        return F.when(~F.coalesce(blank, F.lit(False)), F.concat(F.lit("["), json_of(value), F.lit("]")))
+
+    overview = F.when(F.col("kind") == "STRING", one_item(F.col("report"))).otherwise(one_item(part("discussionOverview")))
+    sections = [F.struct(F.lit("discussionOverview").alias("section"), normalize_narrative(overview, fv.LEGACY_OVERVIEW_LENGTH, 1, [], ["overview"]).alias("texts"))]
+    for name in fv.LEGACY_REPORT_LISTS:
+        texts = normalize_narrative(F.when(F.col("kind") != "STRING", json_of(part(name))), fv.LEGACY_ITEM_LENGTH, fv.LEGACY_ITEMS, fv.NARRATIVE_HEADING_FIELDS)
+        sections.append(F.struct(F.lit(name).alias("section"), texts.alias("texts")))
+    found = rows.select("attempt_id", "thread_id", F.explode(F.array(*sections)).alias("s"))
+    return found.select("attempt_id", "thread_id", "s.section", F.posexplode("s.texts").alias("item_no", "text"))
+
+
+def legacy_uncertainties(parsed: DataFrame, cands: DataFrame, offending: DataFrame, claimed: DataFrame) -> DataFrame:
+    """Uncertainties of older answers: their own, then a prefixed summary and the notes of each candidate under the
+    confidence gate; each text once, where it comes first: ``attempt_id, thread_id, note_no, text``."""
+    keys = ["attempt_id", "thread_id"]
+    own = _legacy(parsed).select(*keys, F.posexplode(normalize_narrative(F.col("doc.uncertainties"), 500, 50)).alias("no", "text"))
+    own = own.select(*keys, F.struct(F.lit(0.0).alias("sure"), F.lit(0.0).alias("score"), F.lit(-1).alias("candidate"), "no").alias("place"), "text")
+    open_rows = offending.filter(F.col("confidence") < fv.MIN_CONFIDENCE).join(claimed.select("attempt_id", "id"), ["attempt_id", "id"], "left_anti")
+    low = cands.filter(F.col("protocol") == 2).join(open_rows.select(*CANDIDATE).distinct(), CANDIDATE, "left_semi")
+    notes = F.concat(F.array(F.concat(F.lit(fv.LOW_CONFIDENCE_PREFIX), "summary")), "uncertainties")
+    told = low.select(*keys, "confidence", "score", "candidate_no", F.posexplode(notes).alias("no", "text"))
+    # the model's own notes come first: their place starts below every other
+    place = F.struct((2 - F.col("confidence")).alias("sure"), (-F.col("score")).alias("score"), F.col("candidate_no").alias("candidate"), "no")
+    firsts = own.unionByName(told.select(*keys, place.alias("place"), "text")).groupBy(*keys, "text").agg(F.min("place").alias("place"))
+    numbered = F.row_number().over(Window.partitionBy("attempt_id").orderBy("place"))  # an answer's notes are bounded by the answer
+    return firsts.select(*keys, numbered.alias("note_no"), "text")
+
+
+def localized_narrative(rows: DataFrame, keys: list[str], labels: DataFrame) -> DataFrame:
+    """``rows`` (``keys…, thread_id, text``) with references in ``text`` shown as local labels, and the ``reply_ids`` they name."""
+    named = rows.withColumn("text_id", F.concat_ws("/", *keys))
+    shown = resolve_refs(named.select("text_id", "thread_id", "text"), labels)
+    return named.drop("text").join(shown.withColumnRenamed("shown", "text"), ["text_id", "thread_id"]).drop("text_id")
 
 
 def report_items(parsed: DataFrame, wires: DataFrame, max_items: dict[str, int] | None = None, max_ids: int | None = None) -> DataFrame:
@@ -350,19 +433,52 @@ def group_references(refs: DataFrame) -> DataFrame:
     return refs.withColumn("group_key", key)
 
 
-def sanitize_result(findings: DataFrame, names: DataFrame) -> DataFrame:
-    """Findings for storage: author names replaced in summary, rationale and every uncertainty; evidence text and participants left out."""
+def sanitize_columns(rows: DataFrame, keys: list[str], columns: list[str], names: DataFrame) -> DataFrame:
+    """Author names hidden in text columns and in columns of text lists; nulls and empty lists stay what they are.
+
+    ``keys`` with ``thread_id`` tell the rows apart.  Every text is a row of its own, keyed by its column and place.
+    """
     from threadspark.operators.payloads import MARK, mark_names
 
-    none = F.array().cast("array<string>")
-    texts = findings.select(
-        "thread_id", F.concat_ws("/", "attempt_id", "finding_id").alias("id"),
-        F.array_join(F.concat(F.array("summary", "rationale"), F.coalesce("uncertainties", none)), "\x01", "").alias("text"),
-    )
-    marked = mark_names(texts, names.select("thread_id", "name", F.lit(fv.HIDDEN_NAME).alias("alias")))
-    clean = F.split(F.replace("marked", F.lit(MARK), F.lit(fv.HIDDEN_NAME)), "\x01", -1)
-    fixed = marked.select(
-        "thread_id", "id", clean[0].alias("summary"), clean[1].alias("rationale"), F.slice(clean, F.lit(3), F.size(clean)).alias("uncertainties")
+    lists = [name for name in columns if rows.schema[name].dataType.typeName() == "array"]
+    kept = [name for name in keys if name != "thread_id"]
+    tagged = rows.withColumn("_row", F.sha2(F.to_json(F.struct("thread_id", *kept)), 256))
+
+    def part_of(name):
+        texts = F.col(name) if name in lists else F.array(name)
+        return F.transform(texts, lambda text, i: F.struct(F.lit(name).alias("part"), i.alias("place"), text.alias("text")))
+
+    parts = [part_of(name) for name in columns]
+    gone = F.array().cast("array<struct<part:string,place:int,text:string>>")
+    texts = tagged.select("thread_id", "_row", F.explode(F.concat(*[F.coalesce(part, gone) for part in parts])).alias("one")).filter(F.col("one.text").isNotNull())
+    marked = mark_names(
+        texts.select("thread_id", F.concat_ws("/", "_row", "one.part", "one.place").alias("id"), "_row", "one.part", "one.place", F.replace("one.text", F.lit(MARK), F.lit("")).alias("text")),
+        names.select("thread_id", "name", F.lit(fv.HIDDEN_NAME).alias("alias")),
     )
-    rows = findings.drop("summary", "rationale", "uncertainties").withColumn("id", F.concat_ws("/", "attempt_id", "finding_id"))
-    return rows.join(fixed, ["thread_id", "id"]).drop("id")
+    clean = marked.select("_row", "part", "place", F.replace("marked", F.lit(MARK), F.lit(fv.HIDDEN_NAME)).alias("text"))
+    # the texts of one row, bounded by that row
+    gathered = clean.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("/", "part", "place").alias("key"), "text"))).alias("_texts"))
+    back = tagged.join(gathered, "_row", "left")
+
+    def fixed(name):
+        if name in lists:
+            return F.transform(name, lambda text, i: F.element_at("_texts", F.concat(F.lit(f"{name}/"), i)))
+        return F.element_at("_texts", F.lit(f"{name}/0"))
+
+    return back.withColumns({name: fixed(name) for name in columns}).select(*rows.columns)
+
+
+def sanitize_result(findings: DataFrame, names: DataFrame) -> DataFrame:
+    """Findings for storage: author names hidden in summary, rationale and every uncertainty; participants left out."""
+    return sanitize_columns(findings, ["attempt_id", "finding_id"], ["summary", "rationale", "uncertainties"], names)
+
+
+def sanitize_evidence(evidence: DataFrame, names: DataFrame) -> DataFrame:
+    """Evidence for storage: no excerpt of the source, author names hidden in the signal."""
+    keys = [*CANDIDATE, "group_no", "id"]
+    return sanitize_columns(evidence.withColumn("excerpt", F.lit("")), keys, ["signal"], names)
+
+
+def sanitize_report(items: DataFrame, keys: list[str], columns: list[str], names: DataFrame) -> DataFrame:
+    """Report rows for storage (stages, interactions, notes, overviews, older lists): author names hidden in their prose."""
+    return sanitize_columns(items, keys, columns, names)

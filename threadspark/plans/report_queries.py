@@ -71,7 +71,7 @@ def parse_finding_results(t):
     rows = t.orders.select(key.cast("string").alias("selection_id"), F.when(key % 5 == 0, "```").otherwise(body).alias("content"))
     selected = rows.select("selection_id", F.lit("in").alias("id"))
     allowed = rows.select("selection_id", F.lit("R01.01").alias("reason_id"))
-    answers, ids, reasons = reports.parse_finding_results(rows, selected, allowed)
+    answers, ids, reasons, _ = reports.parse_finding_results(rows, selected, allowed)
     n_ids = ids.groupBy("selection_id").agg(F.count("*").alias("ids"))
     n_reasons = reasons.groupBy("selection_id").agg(F.count("*").alias("reasons"))
     out = answers.select("selection_id", "reject_code").join(n_ids, "selection_id", "left").join(n_reasons, "selection_id", "left")

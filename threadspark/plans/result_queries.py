@@ -136,7 +136,7 @@ def report_notes(t):
     return rows.select("attempt_id", "item_no", "kind", "summary", F.array_join("reply_ids", ",").alias("reply_ids"))
 
 
-@query("report_overview", f"""WITH {DISCUSSION}, {_ANSWERS.split(" off AS")[0].rstrip().rstrip(",")} SELECT attempt_id, '概览 相关回复。第二句。' AS overview FROM good""")
+@query("report_overview", f"""WITH {DISCUSSION}, {_ANSWERS.split(" off AS")[0].rstrip().rstrip(",")} SELECT attempt_id, '概览 相关回复。第二句。第三句。' AS overview FROM good""")
 def report_overview(t):
     return results.report_overview(results.parse_results(_answers(t)))
 
