@@ -77,3 +77,37 @@ def test_components_equal_union_find(spark, name, n, edges):
     both = [("s", a, b) for a, b in edges] + [("s", b, a) for a, b in edges]
     found = connected_components(nodes, spark.createDataFrame(both, "scope string, src long, dst long"), ["scope"])
     assert {row["node"]: row["component"] for row in found.collect()} == union_find(range(n), edges)
+
+
+def joins_of(df):
+    return [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+
+
+def test_texts_are_never_joined_on_their_thread_alone(spark, make_replies):
+    from threadspark.operators import payloads
+    from threadspark.operators.names import TARGET_ANCHORS, name_lengths, thread_names
+
+    rows = make_replies(("甲", "@乙 你好"), ("乙", "回复 甲：好"), ("甲", "x"))
+    names = thread_names(rows)
+    texts = rows.select("thread_id", "id", F.col("content").alias("text"))
+    for found in (payloads.minute_offset(rows), skew_join(texts, name_lengths(names), ["thread_id"], ["id"])):
+        own = [line for line in joins_of(found) if "thread_id" in line]
+        assert own and all("_skew_salt" in line for line in own)
+    from threadspark.operators.names import named_authors
+
+    assert {(row["id"], row["name"]) for row in named_authors(rows, names, TARGET_ANCHORS).collect()} == {("r1", "乙"), ("r2", "甲")}
+
+
+def test_detection_in_a_hot_thread_equals_the_plain_count(spark):
+    from threadspark.operators import detect
+
+    hot = spark.range(3_000).select(
+        F.when(F.col("id") < 2_000, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 50)).alias("thread_id"), F.col("id").cast("string").alias("id"),
+        F.concat(F.lit("u"), F.col("id") % 3).alias("author_key"), (F.col("id") * 1_000).alias("timestamp_ms"), F.lit(0).alias("risk"),
+    )
+    group = ["thread_id", "author_key"]
+    bursts = detect.earliest_burst(hot, group, 120_000, 5)
+    inside = F.col("timestamp_ms").between(F.col("start_ms"), F.col("start_ms") + 120_000)
+    plain = hot.join(bursts, group).filter(inside).select("thread_id", "id").collect()
+    found = detect.in_burst(hot, bursts, group, 120_000).select("thread_id", "id").collect()
+    assert Counter(map(tuple, found)) == Counter(map(tuple, plain)) and len(found) > 100

@@ -6,6 +6,7 @@ from threadspark import fixed_values as fv
 from threadspark.functions.text import blank_to_null, dedupe_key, excerpt, parse_forum_time
 from threadspark.operators.ordinals import top_per_group
 from threadspark.operators.relations import resolve_targets
+from threadspark.operators.skew import heavy_keys, skew_join
 from threadspark.session import cut_lineage
 
 UNKNOWN_AUTHOR = "[未知用户:"
@@ -83,7 +84,7 @@ def earliest_burst(
 def in_burst(posts: DataFrame, bursts: DataFrame, group: list[str], width_ms: int) -> DataFrame:
     """Posts inside their group's burst window."""
     inside = F.col("timestamp_ms").between(F.col("start_ms"), F.col("start_ms") + width_ms)
-    return posts.join(bursts, group).filter(inside)
+    return skew_join(posts, bursts, group, ["id"]).filter(inside)
 
 
 def _bonus(df: DataFrame, risk: str, score: Column, label: Column) -> DataFrame:
@@ -120,7 +121,7 @@ def risk_scores(posts: DataFrame, targets: DataFrame) -> DataFrame:
         )
         add(direct)
 
-    copies = posts.join(duplicate_counts(posts), ["thread_id", "author_key", "text_key"])
+    copies = skew_join(posts, duplicate_counts(posts), ["thread_id", "author_key", "text_key"], ["id"])
     add(
         _bonus(
             copies, "spam",
@@ -138,6 +139,8 @@ def risk_scores(posts: DataFrame, targets: DataFrame) -> DataFrame:
         .withColumn("left", F.least("author_key", "target"))
         .withColumn("right", F.greatest("author_key", "target"))
     )
+    exchanges = cut_lineage(exchanges)
+    busy = heavy_keys(exchanges, pair)
     per_direction = exchanges.groupBy("thread_id", "author_key", "target", "left", "right").agg(F.count("*").alias("sent"))
     mutual = (
         per_direction.groupBy(*pair)
@@ -145,7 +148,7 @@ def risk_scores(posts: DataFrame, targets: DataFrame) -> DataFrame:
         .filter((F.col("sides") == 2) & (F.col("n") >= fv.MUTUAL_MIN))
         .drop("sides")
     )
-    flagged = exchanges.join(mutual, pair, "left")
+    flagged = skew_join(exchanges, mutual, pair, ["id"], "left", heavy=busy)
     add(
         _bonus(
             flagged.filter(F.col("n").isNotNull()), "provocation", F.lit(fv.MUTUAL_BONUS),
@@ -167,7 +170,7 @@ def risk_scores(posts: DataFrame, targets: DataFrame) -> DataFrame:
     repeated = per_direction.filter(F.col("sent") >= fv.MENTION_MIN).select("thread_id", "author_key", "target", "sent")
     add(
         _bonus(
-            exchanges.join(repeated, ["thread_id", "author_key", "target"]), "harassment", F.lit(fv.MENTION_BONUS),
+            skew_join(exchanges, repeated, ["thread_id", "author_key", "target"], ["id"]), "harassment", F.lit(fv.MENTION_BONUS),
             F.concat(F.lit("反复 @ 同一对象（"), "sent", F.lit("次）")),
         )
     )

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from threadspark import fixed_values as fv
 from threadspark.functions.text import blank_to_null
+from threadspark.operators.skew import skew_join
+from threadspark.session import cut_lineage
 
 SP = f"[{fv.SPACE}]"
 
@@ -71,9 +73,10 @@ def _candidates(anchor: Anchor, content: Column, lengths: Column, longest: Colum
 
 def named_authors(replies: DataFrame, names: DataFrame, anchors: list[Anchor]) -> DataFrame:
     """Authors named next to an anchor: distinct ``thread_id, id, pos, name``."""
-    sized = replies.select("thread_id", "id", "pos", "content").join(name_lengths(names), "thread_id")
+    sized = skew_join(replies.select("thread_id", "id", "pos", "content"), name_lengths(names), ["thread_id"], ["id"])
     found = F.array_distinct(
         F.concat(*[_candidates(a, F.col("content"), F.col("lengths"), F.col("longest")) for a in anchors])
     )
-    candidates = sized.select("thread_id", "id", "pos", F.explode(found).alias("name"))
-    return candidates.join(names, ["thread_id", "name"], "left_semi").select("thread_id", "id", "pos", "name")
+    # written once: the join looks at its heavy keys first
+    candidates = cut_lineage(sized.select("thread_id", "id", "pos", F.explode(found).alias("name")))
+    return skew_join(candidates, names, ["thread_id", "name"], ["id"], "left_semi").select("thread_id", "id", "pos", "name")

@@ -9,10 +9,10 @@ from threadspark.functions.privacy import contains_sensitive, redact_sensitive,
 from threadspark.functions.text import blank_to_null, estimate_tokens, squeeze
 from threadspark.operators.ordinals import dense_number
 from threadspark.operators.relations import context_replies, reply_edges
+from threadspark.operators.skew import skew_join
 from threadspark.session import cut_lineage
 from threadspark.rule_library import RULE_LIBRARY, RULES_VERSION
 
-# Threads whose name list fits these bounds carry it inside each row; others use a join.
 MARK = "\x00"
 
 
@@ -33,7 +33,7 @@ def minute_offset(replies: DataFrame) -> DataFrame:
     first = replies.groupBy("thread_id").agg(F.min("timestamp_ms").alias("_first"))
     minutes = F.round((F.col("timestamp_ms") - F.col("_first")) / 60_000).cast("bigint")
     return (
-        replies.join(first, "thread_id")
+        skew_join(replies, first, ["thread_id"], ["id"])
         .withColumn("minute_offset", F.when(minutes.isNotNull(), F.greatest(F.lit(0), minutes)))
         .drop("_first")
     )
@@ -67,15 +67,16 @@ def mark_names(texts: DataFrame, names: DataFrame) -> DataFrame:
     # At most one entry per character of the thread's names.
     heads = heads.groupBy("thread_id").agg(F.map_from_entries(F.collect_list(F.struct("head", "lengths"))).alias("heads"))
     letters = F.split("text", "")
-    places = texts.filter(F.length("text") > 0).join(heads, "thread_id").withColumn("letters", letters)
+    places = skew_join(texts.select("thread_id", "id", "text").filter(F.length("text") > 0), heads, ["thread_id"], ["id"]).withColumn("letters", letters)
     starts = F.filter(F.sequence(F.lit(1), F.size("letters")), lambda k: F.map_contains_key("heads", F.element_at("letters", k)))
     started = places.select("thread_id", "id", "letters", "heads", F.explode(starts).alias("start"))
     sized = started.select("thread_id", "id", "letters", "start", F.explode(F.element_at("heads", F.element_at("letters", F.col("start")))).alias("size"))
     candidates = sized.filter(F.col("start") + F.col("size") - 1 <= F.size("letters")).select(
         "thread_id", "id", "start", "size", F.array_join(F.slice("letters", F.col("start"), F.col("size")), "").alias("name")
     )
+    candidates = cut_lineage(candidates)  # written once: the join looks at its heavy keys first
     found = (
-        candidates.join(names, ["thread_id", "name"])
+        skew_join(candidates, names, ["thread_id", "name"], ["id", "start"])
         .groupBy("thread_id", "id")
         .agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("size")).alias("order"), "size", "alias"))).alias("hits"))
     )
