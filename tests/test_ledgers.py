@@ -3,7 +3,7 @@ import itertools
 from pyspark.sql import functions as F
 
 from threadspark.operators import ledger, merges
-from threadspark.sources import durable
+from threadspark.sources import durable, snapshots
 
 ROW = "thread_id string, pos bigint, id string, site_reply_id string, parent_reply_id string, floor int, author_name string, timestamp_ms bigint, content string, image_count int, is_nested boolean, unexpanded_nested_count int"
 
@@ -31,11 +31,11 @@ def test_upsert_table(spark, tmp_path):
     path = str(tmp_path / "table")
 
     def put(*rows):
-        durable.upsert_table(spark, path, spark.createDataFrame(list(rows), "k int, v string, at int"), ["k"], F.col("at"), buckets=4)
+        snapshots.upsert_table(spark, path, spark.createDataFrame(list(rows), "k int, v string, at int"), ["k"], F.col("at"), buckets=4)
 
     put((1, "a", 1), (2, "b", 1), (1, "z", 0))
     put((2, "c", 2), (3, "d", 1), (1, "old", 0))
-    assert {r["k"]: r["v"] for r in spark.read.parquet(path).collect()} == {1: "a", 2: "c", 3: "d"}
+    assert {r["k"]: r["v"] for r in snapshots.read_table(spark, path).collect()} == {1: "a", 2: "c", 3: "d"}
 
 
 def test_export_round_trip(spark, tmp_path):

@@ -1,12 +1,15 @@
 """Queries over labelled documents, the rule library and ledger tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from threadspark.operators import detect, evaluate, rule_search
 from threadspark.plans.registry import query
 from threadspark.plans.thread_queries import _KEY
 from threadspark.rule_library import RULE_LIBRARY
-from threadspark.sources import cases, durable
+from threadspark.session import shared_folder
+from threadspark.sources import cases, durable, snapshots
 from threadspark.sources.rules import rules_table
 
 LEXICON = [("personal_attack", "(?:the|der|el) [a-z]+heed", "sample", 45), ("harassment", "leon|schein", "sample", 50)]
@@ -116,3 +119,16 @@ def upsert(t):
 def delete_history(t):
     gone = t.customer.filter("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
     return durable.without_keys(t.orders, gone, ["o_custkey"]).select("o_orderkey")
+
+
+@query("snapshot_versions", """WITH v AS (SELECT 1 AS version, * FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT 2, * FROM orders)
+   SELECT version, o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderpriority, o_orderkey) AS o_orderpriority FROM v GROUP BY 1, 2""")
+def snapshot_versions(t):
+    """Two upserts of one table; the reader of the first version is not disturbed by the second."""
+    rows, path = t.orders.select("o_custkey", "o_orderkey", "o_orderpriority"), f"{shared_folder(t.spark)}/table-{uuid.uuid4().hex}"
+    key, order, late = ["o_custkey"], F.col("o_orderkey"), F.col("o_orderkey") % 3 == 0
+    snapshots.upsert_table(t.spark, path, rows.filter(~late), key, order)
+    first = snapshots.read_table(t.spark, path)
+    snapshots.upsert_table(t.spark, path, rows.filter(late), key, order)
+    second = snapshots.read_table(t.spark, path)
+    return first.select(F.lit(1).alias("version"), "*").unionByName(second.select(F.lit(2).alias("version"), "*"))

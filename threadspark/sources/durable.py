@@ -6,7 +6,6 @@ from pyspark.sql.types import StructType
 
 from threadspark import fixed_values as fv
 from threadspark.operators.ordinals import first_per_key
-from threadspark.session import cut_lineage
 
 
 def load_valid(rows: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:
@@ -27,28 +26,6 @@ def upserted(current: DataFrame, changes: DataFrame, keys: list[str], order: Col
     return first_per_key(both, keys, F.struct(order, F.col("_source")), latest=True).drop("_source")
 
 
-def upsert_table(spark: SparkSession, path: str, changes: DataFrame, keys: list[str], order: Column, buckets: int = 64) -> None:
-    """Merges changes into a Parquet table split by key hash; only touched buckets are rewritten.
-
-    The result is written out completely (checkpoint) before the first bucket is replaced.
-    """
-    bucket = F.pmod(F.hash(*keys), F.lit(buckets))
-    changes = changes.withColumn("_bucket", bucket)
-    try:
-        current = spark.read.parquet(path)
-    except Exception as error:  # noqa: BLE001 - only a missing table starts empty
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
-        current = None
-    if current is None:
-        first_per_key(changes, keys, order, latest=True).write.partitionBy("_bucket").parquet(path)
-        return
-    touched = changes.select("_bucket").distinct()
-    affected = current.join(F.broadcast(touched), "_bucket", "left_semi").select(*changes.columns)
-    merged = cut_lineage(upserted(affected, changes, keys, order))
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
-
-
 def without_keys(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Rows whose key is not listed; other ledgers, receipts above all, are left alone."""
     return rows.join(keys.select(*on).distinct(), on, "left_anti")

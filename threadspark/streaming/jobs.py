@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from threadspark import fixed_values as fv
 from threadspark.operators.merges import merge_key
-from threadspark.sources.durable import upsert_table
+from threadspark.sources.snapshots import read_table, upsert_table
 
 CLAIM_OUTPUT = "snapshot_id string, attempt_id string, granted boolean, holder string"
 EXPIRY_OUTPUT = "attempt_id string, status string, deadline_ms bigint"
@@ -33,12 +33,12 @@ def start_updates(rows: DataFrame, keys: list[str], version: str, path: str, che
     Windows that are still open have their row from the first batch on, so none is lost when a stream ends;
     ``version`` is a column that only grows while a window fills, so a retried batch changes nothing.
     """
-    def apply(batch: DataFrame, _: int) -> None:
-        upsert_table(batch.sparkSession, path, batch, keys, F.col(version))
+    def apply(batch: DataFrame, number: int) -> None:
+        upsert_table(batch.sparkSession, path, batch, keys, F.col(version), batch=(checkpoint, number))
 
     query = rows.writeStream.foreachBatch(apply).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return rows.sparkSession.read.parquet(path).select(*rows.columns)
+    return read_table(rows.sparkSession, path).select(*rows.columns)
 
 
 # --- merged replies --------------------------------------------------------------------------
@@ -47,18 +47,18 @@ def start_updates(rows: DataFrame, keys: list[str], version: str, path: str, che
 def stream_merge_captures(capture_rows: DataFrame, path: str, checkpoint: str):
     """Upserts live capture rows by thread, document instance and reply key; the latest capture wins.
 
-    Replies that leave the page stay.  A batch may be retried: the upsert gives the same table again.
+    Replies that leave the page stay.  A batch that was committed before is left out when it is retried.
     """
     keys = ["thread_id", "instance", "merge_key"]
 
-    def apply(batch: DataFrame, _: int) -> None:
+    def apply(batch: DataFrame, number: int) -> None:
         rows = batch.withColumns(
             {
                 "merge_key": merge_key(F.col("id"), F.col("site_reply_id"), F.col("is_nested")),
                 "instance": F.coalesce("document_instance_id", F.col("capture_id").cast("string")),
             }
         )
-        upsert_table(batch.sparkSession, path, rows, keys, F.struct("captured_at", "pos"))
+        upsert_table(batch.sparkSession, path, rows, keys, F.struct("captured_at", "pos"), batch=(checkpoint, number))
 
     return (
         capture_rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -67,7 +67,7 @@ def stream_merge_captures(capture_rows: DataFrame, path: str, checkpoint: str):
 
 def current_replies(spark: SparkSession, path: str) -> DataFrame:
     """Merged replies of each thread's newest document instance; a new instance resets the thread."""
-    table = spark.read.parquet(path)
+    table = read_table(spark, path)
     newest = table.groupBy("thread_id").agg(F.max_by("instance", "captured_at").alias("instance"))
     return table.join(newest, ["thread_id", "instance"])
 
