@@ -204,5 +204,5 @@ def test_stored_results_hide_names_in_every_column(spark, summary):
     hidden = fv.HIDDEN_NAME
     assert found["f1"]["summary"] == (summary and summary.replace("user0", hidden)) and found["f1"]["rationale"] == f"by {hidden}"
     assert found["f1"]["uncertainties"] == [hidden, None, f"x {hidden} y"]
-    assert (found["f2"]["summary"], found["f2"]["rationale"], found["f2"]["uncertainties"]) == ("plain", None, None)
+    assert (found["f2"]["summary"], found["f2"]["rationale"], found["f2"]["uncertainties"]) == ("plain", None, [])
     assert found["f3"]["uncertainties"] == []

@@ -58,6 +58,12 @@ def merge_captures(captures: DataFrame, capture_replies: DataFrame) -> DataFrame
     return merged.drop("parser_variant", "page_number", "seq")
 
 
+def latest_declared_count(captures: DataFrame, order: Column) -> DataFrame:
+    """``thread_id, declared_reply_count``: what the latest capture that tells a count has told."""
+    told = F.when(F.col("declared_count").isNotNull(), order)
+    return captures.groupBy("thread_id").agg(F.max_by("declared_count", told).alias("declared_reply_count"))
+
+
 def thread_coverage(replies: DataFrame, captures: DataFrame) -> DataFrame:
     """Counts and completeness of every thread from its merged replies and surviving captures.
 

@@ -6,6 +6,7 @@ Page and parent rows are summaries; reply ids take part only in counts by (paren
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadspark import fixed_values as fv
+from threadspark.operators.ordinals import previous_value
 
 PARENT = ["thread_id", "parent_id"]
 
@@ -18,11 +19,30 @@ def page_frontier(pages: DataFrame, limit: int = fv.READ_LIMITS["main_pages"]) -
     ).withColumn("truncated", F.col("pages_total") > limit)
 
 
+def page_gaps(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """``thread_id, first_page, last_page``: runs of pages that the frontier expects but nobody fetched.
+
+    A gap is one row, whatever number of pages a page claims; ``limit`` leaves out pages past it.
+    """
+    fetched = pages.select("thread_id", F.col("page").cast("bigint").alias("page")).filter("page >= 1").distinct()
+    looked = previous_value(fetched, ["thread_id"], "page", F.col("page"), "before")
+    inner = looked.select("thread_id", (F.coalesce("before", F.lit(0)) + 1).alias("first_page"), (F.col("page") - 1).alias("last_page"))
+    reached = fetched.groupBy("thread_id").agg(F.max("page").alias("reached"))
+    tail = page_frontier(pages).join(reached, "thread_id", "left").select(
+        "thread_id", (F.coalesce("reached", F.lit(0)) + 1).alias("first_page"), F.col("pages_total").cast("bigint").alias("last_page")
+    )
+    total = page_frontier(pages).select("thread_id", F.col("pages_total").cast("bigint").alias("pages_total"))
+    # pages past the frontier are fetched, so a gap before them may end past it
+    gaps = inner.filter("first_page <= last_page").join(total, "thread_id").withColumn("last_page", F.least("last_page", "pages_total")).drop("pages_total").unionByName(tail)
+    if limit is not None:
+        gaps = gaps.withColumn("last_page", F.least("last_page", F.lit(limit)))
+    return gaps.filter("first_page <= last_page")
+
+
 def missing_pages(pages: DataFrame, limit: int | None = None) -> DataFrame:
-    """``thread_id, page`` that the frontier expects but nobody fetched; ``limit`` leaves out pages past it."""
-    last = F.col("pages_total") if limit is None else F.least("pages_total", F.lit(limit))
-    expected = page_frontier(pages).select("thread_id", F.explode(F.sequence(F.lit(1), last.cast("int"))).alias("page"))
-    return expected.join(pages.select("thread_id", F.col("page").cast("int").alias("page")), ["thread_id", "page"], "left_anti")
+    """``thread_id, page``: the pages of the gaps, one row each."""
+    numbers = F.explode(F.sequence(F.col("first_page").cast("int"), F.col("last_page").cast("int")))
+    return page_gaps(pages, limit).select("thread_id", numbers.alias("page"))
 
 
 def page_diagnostics(pages: DataFrame, page_replies: DataFrame) -> DataFrame:

@@ -469,8 +469,12 @@ def sanitize_columns(rows: DataFrame, keys: list[str], columns: list[str], names
 
 
 def sanitize_result(findings: DataFrame, names: DataFrame) -> DataFrame:
-    """Findings for storage: author names hidden in summary, rationale and every uncertainty; participants left out."""
-    return sanitize_columns(findings, ["attempt_id", "finding_id"], ["summary", "rationale", "uncertainties"], names)
+    """Findings for storage: author names hidden in summary, rationale and every uncertainty; participants left out.
+
+    A missing list of uncertainties is an empty one; other nulls stay.
+    """
+    listed = findings.withColumn("uncertainties", F.coalesce("uncertainties", F.array().cast("array<string>")))
+    return sanitize_columns(listed, ["attempt_id", "finding_id"], ["summary", "rationale", "uncertainties"], names)
 
 
 def sanitize_evidence(evidence: DataFrame, names: DataFrame) -> DataFrame:

@@ -116,6 +116,12 @@ def missing_pages(t):
     return reconcile.missing_pages(_read(t)[2])
 
 
+@query("page_gaps", f"""WITH {_BASE}, f AS (SELECT conv_id, max(total) AS total FROM ok GROUP BY 1), m AS (SELECT conv_id, unnest(range(1, total + 1)) AS p FROM f), g AS (SELECT * FROM m WHERE (conv_id, p) NOT IN (SELECT (conv_id, page) FROM ok)),
+   i AS (SELECT conv_id, p, p - row_number() OVER (PARTITION BY conv_id ORDER BY p) AS island FROM g) SELECT CAST(conv_id AS VARCHAR) AS thread_id, min(p) AS first_page, max(p) AS last_page FROM i GROUP BY conv_id, island""")
+def page_gaps(t):
+    return reconcile.page_gaps(_read(t)[2])
+
+
 @query("page_diagnostics", f"""WITH {_BASE}, d AS (SELECT conv_id, count(*) AS n, count(*) FILTER (role = 'system') AS bad, CASE WHEN conv_id % 6 = 1 THEN count(*) FILTER (turn % 3 = 1) ELSE 0 END AS dup, max(turns) - 1 AS declared FROM ok GROUP BY conv_id)
    SELECT CAST(conv_id AS VARCHAR) AS thread_id, n + dup AS raw_count, n + dup - bad AS stable_count, CAST(dup AS BIGINT) AS duplicate_count, bad AS unparsed_count, 0 AS mismatch_pages, 0 AS undeclared_pages, declared AS declared_count,
    0 AS cross_page_duplicates, greatest(bad, dup) AS main_diagnostic_count FROM d""")

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from threadspark import fixed_values as fv
 from threadspark.operators import ledger, merges
 from threadspark.plans.registry import DISCUSSION, query, sql_trim
-from threadspark.sources.rules import rules_table
+from threadspark.rule_library import RULE_LIBRARY
+from threadspark.sources.rules import categories_table, rules_table
 
 HOST = "forum.example.org"
 
@@ -102,9 +103,11 @@ def capture_warnings(t):
 
 @query("latest_declared_count", """SELECT CAST(l_suppkey AS VARCHAR) AS thread_id, CAST(arg_max(l_partkey, l_orderkey * 10 + l_linenumber) FILTER (l_partkey % 3 > 0) AS BIGINT) AS declared FROM lineitem GROUP BY 1""")
 def latest_declared_count(t):
-    declared = F.when(F.col("l_partkey") % 3 > 0, F.col("l_partkey"))
-    order = F.when(declared.isNotNull(), F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    return t.lineitem.groupBy(F.col("l_suppkey").cast("string").alias("thread_id")).agg(F.max_by(declared, order).alias("declared"))
+    captures = t.lineitem.select(
+        F.col("l_suppkey").cast("string").alias("thread_id"), F.when(F.col("l_partkey") % 3 > 0, F.col("l_partkey")).alias("declared_count"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+    )
+    return merges.latest_declared_count(captures, F.col("seq")).withColumnRenamed("declared_reply_count", "declared")
 
 
 # --- identities ------------------------------------------------------------------------------
@@ -404,3 +407,17 @@ def id_sets(t):
 def id_set_rows(t):
     rows = t.events.select(F.col("user_id").alias("thread_id"), F.col("event_id").cast("string").alias("id"), "event_id")
     return merges.id_rows(rows, rows.withColumn("id", F.when(F.col("event_id") % 3 == 0, F.col("id")).otherwise(F.lit("x"))))
+
+
+_RULE_SQL = ", ".join(f"('{key}', '{title}', {len(texts)})" for key, (title, texts) in RULE_LIBRARY.items())
+
+
+@query("rules_of_decisions", f"""WITH c(category_id, title, n) AS (VALUES {_RULE_SQL}), d AS (SELECT concat('R', lpad(CAST(o_custkey % 20 + 1 AS VARCHAR), 2, '0')) AS category_id, o_orderkey % 9 + 1 AS item FROM orders)
+   SELECT c.category_id, c.title, CAST(c.n AS BIGINT) AS rules, CAST(count(d.item) FILTER (d.item <= c.n) AS BIGINT) AS decisions FROM c LEFT JOIN d USING (category_id) GROUP BY ALL""")
+def rules_of_decisions(t):
+    """Decisions per category of the rule library; both tables of the library are read."""
+    used = t.orders.select(F.concat(F.lit("R"), F.lpad((F.col("o_custkey") % 20 + 1).cast("string"), 2, "0"), F.lit("."), F.lpad((F.col("o_orderkey") % 9 + 1).cast("string"), 2, "0")).alias("rule_id"))
+    rules = rules_table(t.spark)
+    counted = used.groupBy("rule_id").agg(F.count("*").alias("n"))
+    sizes = rules.join(counted, "rule_id", "left").groupBy("category_id").agg(F.count("*").alias("rules"), F.sum(F.coalesce("n", F.lit(0))).alias("decisions"))
+    return categories_table(t.spark).select("category_id", "title").join(sizes, "category_id")

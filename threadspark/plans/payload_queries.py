@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from threadspark.functions import sql_surface
+from threadspark.functions.privacy import contains_sensitive, redact_sensitive
 from threadspark.operators import payloads
 from threadspark.plans.registry import DISCUSSION, WS, query
 from threadspark.plans.text_queries import _SQL_REDACT
@@ -41,6 +43,17 @@ def redact_names_by_join(t):
     return rows.select("thread_id", "id", "author_alias", F.md5("redacted").alias("redacted_md5"))
 
 
+@query("sql_functions", """SELECT doc_id, md5(text) AS text_md5, CAST(length(text) - length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g'))
+   + ceil(length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) / 3) AS BIGINT) AS tokens, true AS same FROM documents""")
+def sql_functions(t):
+    """The SQL functions over whole texts, next to the columns they stand for."""
+    sql_surface.register_functions(t.spark)
+    rows = t.documents.select("doc_id", "text")
+    by_sql = rows.selectExpr("doc_id", "text", "md5(text) AS text_md5", "estimate_tokens(text) AS tokens", "redact_sensitive(text) AS by_sql", "contains_sensitive(text) AS held")
+    same = (F.col("by_sql") == redact_sensitive(F.col("text"))) & (F.col("held") == contains_sensitive(F.col("text")))
+    return by_sql.select("doc_id", "text_md5", "tokens", same.alias("same"))
+
+
 @query("leak_guard", f"""WITH {DISCUSSION}, {_ALIASES}, {_REDACTED} SELECT thread_id,
    CAST(count(*) FILTER (id LIKE '%3' AND regexp_matches(redacted, author_alias)) AS BIGINT) AS alias_uses, 0 AS leaking,
    CAST((SELECT count(*) FROM discussion d WHERE d.thread_id = r.thread_id AND EXISTS (SELECT 1 FROM aliases a

@@ -87,12 +87,13 @@ def stream_expiry(t):
     return jobs.start_available(jobs.stream_expiry(events), *_folders(t))
 
 
-@query("stream_change_events", """SELECT CAST(user_id AS VARCHAR) AS thread_id, max(epoch_us(ts) // 1000) + 750 AS emitted_ms FROM events GROUP BY 1
-   HAVING max(epoch_us(ts) // 1000) + 750 <= (SELECT max(epoch_us(ts) // 1000) FROM events)""")
+@query("stream_change_events", """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS thread_id, epoch_us(ts) // 1000 AS ms, md5(concat(event_id, chr(0), event_type, '|', event_id % 97)) AS h FROM events)
+   SELECT thread_id, max(ms) + 750 AS emitted_ms, concat(sum(CAST(concat('0x', substr(h, 1, 15)) AS HUGEINT)) % 1152921504606846976, '-', sum(CAST(concat('0x', substr(h, 16, 15)) AS HUGEINT)) % 1152921504606846976) AS signature
+   FROM e GROUP BY 1 HAVING max(ms) + 750 <= (SELECT max(ms) FROM e)""")
 def stream_change_events(t):
     _keyed_state(t)
     posts = _stream(t, "events").select(
         F.col("user_id").cast("string").alias("thread_id"), F.col("event_id").cast("string").alias("id"),
-        F.concat_ws("|", "event_type", "value").alias("content"), F.col("ts").alias("at"),
+        F.concat_ws("|", "event_type", F.col("event_id") % 97).alias("content"), F.col("ts").alias("at"),
     )
-    return jobs.start_available(jobs.stream_change_events(posts), *_folders(t)).select("thread_id", "emitted_ms")
+    return jobs.start_available(jobs.stream_change_events(posts), *_folders(t)).select("thread_id", "emitted_ms", "signature")

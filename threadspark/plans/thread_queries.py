@@ -254,12 +254,12 @@ def finding_participants(t):
 
 @query("analyze_replies", f"""WITH {DISCUSSION}, {_SCORES}, {_MEMBERS},
  ranked AS (SELECT *, row_number() OVER (PARTITION BY thread_id, risk_type, cluster ORDER BY score DESC, pos) AS rk FROM members),
- grouped AS (SELECT thread_id, risk_type, cluster, count(*) AS reply_count, avg(score) FILTER (rk <= 3) AS top_average,
+ grouped AS (SELECT thread_id, risk_type, cluster, count(*) AS reply_count, CAST(sum(CAST(concat('0x', substr(md5(id), 1, 15)) AS BIGINT)) AS VARCHAR) AS digest, avg(score) FILTER (rk <= 3) AS top_average,
      string_agg(concat(id, '=', score, ':', CASE WHEN length({sql_squeeze('content')}) > 160 THEN concat(substring({sql_squeeze('content')}, 1, 157), '…') ELSE {sql_squeeze('content')} END), '|' ORDER BY rk) FILTER (rk <= 8) AS evidence,
      bool_or(timestamp_ms IS NULL) AS no_time, bool_or(image_count > 0) AS images, bool_or(parent_reply_id IS NOT NULL AND len(targets) = 0) AS lost
    FROM ranked GROUP BY ALL),
  scored AS (SELECT *, CAST(least(100, round(top_average + least(12, (reply_count - 1) * 3))) AS INTEGER) AS score FROM grouped)
- SELECT thread_id, risk_type, replace(cluster, chr(0), '|') AS cluster, reply_count, score,
+ SELECT thread_id, risk_type, replace(cluster, chr(0), '|') AS cluster, concat('F-', risk_type, '-', digest) AS finding_id, reply_count, score,
    CASE WHEN score >= 85 THEN 'critical' WHEN score >= 65 THEN 'high' WHEN score >= 40 THEN 'medium' ELSE 'low' END AS severity,
    evidence, CAST(1 + no_time::INT + images::INT + lost::INT AS INTEGER) AS note_count,
    CASE risk_type WHEN 'personal_attack' THEN 'R03.01,R03.04,R03.05' WHEN 'provocation' THEN 'R04.01,R04.02,R04.08'
@@ -269,7 +269,7 @@ def analyze_replies(t):
     found = detect.analyze_replies(t.discussion, rules_table(t.spark))
     shown = F.transform("evidence", lambda e: F.concat(e["reply_id"], F.lit("="), e["score"], F.lit(":"), e["excerpt"]))
     return found.select(
-        "thread_id", "risk_type", F.replace("cluster", F.lit("\x00"), F.lit("|")).alias("cluster"), "reply_count", "score", "severity",
+        "thread_id", "risk_type", F.replace("cluster", F.lit("\x00"), F.lit("|")).alias("cluster"), "finding_id", "reply_count", "score", "severity",
         F.array_join(shown, "|").alias("evidence"), F.size("uncertainties").alias("note_count"),
         F.array_join(F.transform("reason_candidates", lambda r: r["reason_id"]), ",").alias("reasons"),
     )

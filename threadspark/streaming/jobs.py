@@ -14,6 +14,7 @@ from threadspark.sources.snapshots import read_table, upsert_table
 
 CLAIM_OUTPUT = "snapshot_id string, attempt_id string, granted boolean, holder string"
 EXPIRY_OUTPUT = "attempt_id string, status string, deadline_ms bigint"
+PARTS = 1 << 60  # each half of a multiset hash
 CHANGE_OUTPUT = "thread_id string, signature string, emitted_ms bigint"
 
 
@@ -145,41 +146,50 @@ def stream_expiry(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
     )
 
 
+def item_parts(item: str, content: str) -> tuple[int, int]:
+    """Two 60-bit numbers of one item of a multiset."""
+    digest = hashlib.md5(f"{item}\x00{content}".encode()).hexdigest()
+    return int(digest[:15], 16), int(digest[15:30], 16)
+
+
 class ChangeProcessor(StatefulProcessor):
-    """After a quiet time, tells when the content signature of a thread differs from the last one told."""
+    """After a quiet time, tells when the content signature of a thread differs from the last one told.
+
+    The signature is a multiset hash that is kept up to date: a new item is added, one that it replaces is taken off,
+    so a timer looks at no item.
+    """
 
     def __init__(self, quiet_ms: int):
         self.quiet_ms = quiet_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.items = handle.getMapState("items", "id string", "digest string")
-        self.last = handle.getValueState("last", "signature string, due bigint")
+        self.items = handle.getMapState("items", "id string", "high bigint, low bigint")
+        self.last = handle.getValueState("last", "high bigint, low bigint, told string, due bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        told, due = self.last.get() if self.last.exists() else (None, None)
+        high, low, told, due = self.last.get() if self.last.exists() else (0, 0, None, None)
         newest = 0
         for batch in rows:
-            for event in batch.itertuples(index=False):
-                self.items.updateValue((event.id,), (hashlib.sha256(event.content.encode()).hexdigest(),))
-                newest = max(newest, int(event.at.timestamp() * 1000))
+            newest = max(newest, int(batch["at"].max().timestamp() * 1000))
+            # of one batch the last row of an item counts
+            for item, content in dict(zip(batch["id"], batch["content"], strict=True)).items():
+                old = self.items.getValue((item,)) if self.items.containsKey((item,)) else (0, 0)
+                new = item_parts(item, content)
+                high, low = (high + new[0] - old[0]) % PARTS, (low + new[1] - old[1]) % PARTS
+                self.items.updateValue((item,), new)
         if due is not None:
             self.handle.deleteTimer(int(due))
         due = newest + self.quiet_ms
         self.handle.registerTimer(due)
-        self.last.update((told, due))
+        self.last.update((high, low, told, due))
         yield pd.DataFrame({"thread_id": [], "signature": [], "emitted_ms": []}).astype({"thread_id": str, "signature": str, "emitted_ms": "int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        told, due = self.last.get()
-        # Order-free over the kept digests, so the state is streamed and never sorted in memory.
-        total = 0
-        for (item,), (digest,) in self.items.iterator():
-            total = (total + int(hashlib.sha256(f"{item}:{digest}".encode()).hexdigest(), 16)) % (1 << 256)
-        signature = f"{total:064x}"
-        changed = signature != told
-        self.last.update((signature, None))
-        rows = [(key[0], signature, due)] if changed else []
+        high, low, told, due = self.last.get()
+        signature = f"{high}-{low}"
+        self.last.update((high, low, signature, None))
+        rows = [(key[0], signature, due)] if signature != told else []
         yield pd.DataFrame(rows, columns=["thread_id", "signature", "emitted_ms"])
 
     def close(self) -> None:
