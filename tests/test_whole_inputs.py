@@ -27,7 +27,7 @@ def test_no_prose_column_keeps_a_name(spark):
     clean = {r["finding_id"]: r for r in results.sanitize_result(found, names).collect()}
     assert len(clean["f1"]["uncertainties"]) == 3 and clean["f2"]["uncertainties"] == []
     for row in clean.values():
-        prose = " ".join([row["summary"], row["rationale"], *row["uncertainties"]])
+        prose = " ".join(text or "" for text in [row["summary"], row["rationale"], *row["uncertainties"]])  # nulls stay null
         assert "user0" not in prose and "小明" not in prose and fv.HIDDEN_NAME in prose
 
 
