@@ -236,3 +236,19 @@ LIMITATIONS = [
     "包含当前整帖只读接口能够返回的全部文字楼层和楼中楼。",
     "不包含帖子链接、用户名、Cookie、登录信息或图片内容。",
 ]
+
+# Titles of a capture's diagnosis, and what a complete text leaves out.
+DIAGNOSIS_TITLES = {
+    "done": "接口可见文字已读完",
+    "limit_reached": "读取达到安全上限，不能作为完整快照",
+    "missing_pages": "主回复仍缺 %d 页",
+    "failed_requests": "有 %d 个只读请求失败",
+    "missing_parents": "仍有 %d 个楼中楼父楼未读完",
+    "structure": "有 %d 个接口回复节点无法可靠解析",
+    "unverified": "接口返回内容未通过完整性校验",
+}
+SCOPE_EXCLUSIONS = {
+    "unavailable": "不会把 %d 条站点统计差额当作已读取内容",
+    "image_count": "不包含 %d 张图片中的文字",
+}
+SCOPE_NOTE = "本次 AI 只分析已读取的文字；%s。"

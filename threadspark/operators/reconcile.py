@@ -272,7 +272,8 @@ def capture_issues(verdict: DataFrame) -> DataFrame:
 
 
 def capture_diagnosis(verdict: DataFrame) -> DataFrame:
-    """Blocking reason (first that applies) and the scope label of every thread."""
+    """Blocking reason (first that applies), its title, the number of nodes that could not be read for sure, and the scope of
+    every thread: its label, and what a complete text leaves out (``scope_note``, null if nothing)."""
     structure = (
         F.col("unparsed_count") + F.col("duplicate_count") + F.col("cross_page_duplicates") + F.col("mismatch_pages")
         + F.col("nested_unparsed_count") + F.col("nested_duplicate_count") + F.col("nested_unknown_count")
@@ -289,4 +290,21 @@ def capture_diagnosis(verdict: DataFrame) -> DataFrame:
         .otherwise("unverified")
     )
     scope = F.when(F.col("is_complete"), "complete").when(done, "text_complete").otherwise("partial")
-    return verdict.select("thread_id", (~done).alias("blocking"), reason.alias("reason"), scope.alias("scope"), "unavailable", "image_count")
+    def told(template: str, count: Column) -> Column:
+        head, tail = template.split("%d")
+        return F.concat(F.lit(head), count.cast("string"), F.lit(tail))
+
+    counts = {
+        "missing_pages": F.col("pages_total") - F.col("pages_fetched"), "failed_requests": F.col("failed_requests"),
+        "missing_parents": F.col("parents_total") - F.col("parents_fetched"), "structure": structure,
+    }
+    title = F.lit(fv.DIAGNOSIS_TITLES["done"])
+    for code, text in fv.DIAGNOSIS_TITLES.items():
+        title = F.when(reason == code, told(text, counts[code]) if code in counts else F.lit(text)).otherwise(title)
+    exclusions = F.array_compact(F.array(*[F.when(F.col(name) > 0, told(text, F.col(name))) for name, text in fv.SCOPE_EXCLUSIONS.items()]))
+    head, tail = fv.SCOPE_NOTE.split("%s")
+    note = F.when(done & (F.size(exclusions) > 0), F.concat(F.lit(head), F.array_join(exclusions, "，"), F.lit(tail)))
+    return verdict.select(
+        "thread_id", (~done).alias("blocking"), reason.alias("reason"), title.alias("title"), F.when(~done, structure).cast("bigint").alias("structure_count"),
+        scope.alias("scope"), note.alias("scope_note"), "unavailable", "image_count",
+    )

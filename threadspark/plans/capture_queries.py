@@ -218,3 +218,12 @@ def capture_issues(t):
    CASE WHEN readable AND unavailable = 0 AND images = 0 THEN 'complete' WHEN readable THEN 'text_complete' ELSE 'partial' END AS scope FROM f""")
 def capture_diagnosis(t):
     return reconcile.capture_diagnosis(_verdict(t)[0]).select("thread_id", "blocking", "reason", "scope")
+
+
+@query("capture_scope", f"""{_VERDICT}, d AS (SELECT f.*, (SELECT count(*) FROM ok o WHERE o.conv_id = f.conv_id AND role = 'system')
+    + CASE WHEN conv_id % 6 = 1 THEN (SELECT count(*) FROM ok o WHERE o.conv_id = f.conv_id AND turn % 3 = 1) ELSE 0 END + unresolved AS n FROM f)
+  SELECT CAST(conv_id AS VARCHAR) AS thread_id, CASE WHEN readable THEN '接口可见文字已读完' WHEN total > fetched THEN concat('主回复仍缺 ', total - fetched, ' 页') ELSE concat('有 ', n, ' 个接口回复节点无法可靠解析') END AS title,
+    CASE WHEN NOT readable THEN CAST(n AS BIGINT) END AS structure_count, CASE WHEN readable AND (unavailable > 0 OR images > 0) THEN concat('本次 AI 只分析已读取的文字；',
+      concat_ws('，', CASE WHEN unavailable > 0 THEN concat('不会把 ', unavailable, ' 条站点统计差额当作已读取内容') END, CASE WHEN images > 0 THEN concat('不包含 ', images, ' 张图片中的文字') END), '。') END AS scope_note FROM d""")
+def capture_scope(t):
+    return reconcile.capture_diagnosis(_verdict(t)[0]).select("thread_id", "title", "structure_count", "scope_note")
