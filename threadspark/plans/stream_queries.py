@@ -62,15 +62,15 @@ def stream_merge_captures(t):
     return jobs.current_replies(t.spark, path).select("thread_id", "merge_key", "capture_id")
 
 
-@query("stream_claims", """SELECT CAST(o_custkey AS VARCHAR) AS snapshot_id, CAST(o_orderkey AS VARCHAR) AS attempt_id, n = 1 OR o_orderkey % 11 = 0 AS granted FROM (
-   SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, CAST(o_orderkey AS VARCHAR)) AS n FROM orders)""")
+@query("stream_claims", """WITH c AS (SELECT CAST(o_custkey AS VARCHAR) AS snapshot_id, CAST(o_orderkey AS VARCHAR) AS attempt_id, o_orderdate AS placed, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, CAST(o_orderkey AS VARCHAR)) = 1 OR o_orderkey % 11 = 0 AS granted FROM orders)
+   SELECT snapshot_id, attempt_id, granted, CASE WHEN NOT granted THEN last_value(CASE WHEN granted THEN attempt_id END IGNORE NULLS) OVER (PARTITION BY snapshot_id ORDER BY placed, attempt_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS holder FROM c""")
 def stream_claims(t):
     _keyed_state(t)
     events = _stream(t, "orders").select(
         F.col("o_custkey").cast("string").alias("snapshot_id"), F.col("o_orderkey").cast("string").alias("attempt_id"), F.lit("claim").alias("kind"),
         F.lit("preparing").alias("status"), (F.col("o_orderkey") % 11 == 0).alias("force"), F.col("o_orderdate").alias("at"),
     )
-    return jobs.start_available(jobs.stream_claims(events), *_folders(t)).select("snapshot_id", "attempt_id", "granted")
+    return jobs.start_available(jobs.stream_claims(events), *_folders(t)).select("snapshot_id", "attempt_id", "granted", "holder")
 
 
 @query("stream_expiry", """WITH a AS (SELECT CAST(o_orderkey AS VARCHAR) AS attempt_id, o_orderstatus, epoch_us(o_orderdate) // 1000 AS placed,
