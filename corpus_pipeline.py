@@ -12,7 +12,7 @@ from threadspark.llm.common import salt_of, stored, table
 # Near duplicates in the pipeline: five words, a similarity of 0.8 or more.
 NEAR_WORDS, NEAR_THRESHOLD = 5, 80
 # Memoised parts of texts; fewer than in the query, as workers hold memory of earlier stages.
-MEMO = 100_000
+MEMO = 200_000
 # Names of working columns that no input has.
 OWN = ("_pipeline_first", "_pipeline_second")
 
