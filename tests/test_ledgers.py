@@ -3,6 +3,7 @@ import itertools
 from pyspark.sql import functions as F
 
 from threadspark.operators import ledger, merges
+from threadspark.operators.ordinals import dealt
 from threadspark.sources import durable, snapshots
 
 ROW = "thread_id string, pos bigint, id string, site_reply_id string, parent_reply_id string, floor int, author_name string, timestamp_ms bigint, content string, image_count int, is_nested boolean, unexpanded_nested_count int"
@@ -71,3 +72,30 @@ def test_claims_equal_sequential_loop(spark):
             granted = force or holder is None
             assert got[(f"s{i}", f"a{n}")] == (granted, None if granted else holder)
             holder = f"a{n}" if granted else holder
+
+
+def test_rows_that_compress_well_are_dealt_by_their_number(spark):
+    rows = spark.range(0, 5_000, 1, 2).select(F.lit("same").alias("text"), F.pmod("id", F.lit(1_000)).alias("key"))
+    parts = dealt(rows, ["key"], rows=250).select("key", F.spark_partition_id().alias("part"))
+    sizes = [row["count"] for row in parts.groupBy("part").count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 1_000
+    assert parts.distinct().count() == 1_000
+
+
+def test_merged_history_is_dealt_once(spark):
+    from threadspark import fixed_values as fv
+
+    columns = ", ".join(f"{c} string" for c in dict.fromkeys(["attempt_id", *fv.HISTORY_IDENTITY, "completed_at"]))
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def row(attempt, at, **other):
+        return tuple({"attempt_id": attempt, "completed_at": at, **other}.get(name) for name in names)
+
+    other = next(c for c in fv.HISTORY_IDENTITY if c != "attempt_id")
+    old = spark.createDataFrame([row("a", "1"), row("b", "1"), row("c", "1", **{other: "x"})], columns)
+    new = spark.createDataFrame([row("a", "2"), row("b", "1", **{other: "null"}), row("c", "0", **{other: "x"})], columns)
+    merged, refused = merges.merge_history(old, new)
+    assert sorted((r["attempt_id"], r["completed_at"]) for r in merged.collect()) == [("a", "2"), ("c", "1")]
+    assert [r["attempt_id"] for r in refused.collect()] == ["b", "b"]
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min(_identity" not in plan and "REPARTITION_BY_NUM" in plan
