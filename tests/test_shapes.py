@@ -206,3 +206,15 @@ def test_stored_results_hide_names_in_every_column(spark, summary):
     assert found["f1"]["uncertainties"] == [hidden, None, f"x {hidden} y"]
     assert (found["f2"]["summary"], found["f2"]["rationale"], found["f2"]["uncertainties"]) == ("plain", None, [])
     assert found["f3"]["uncertainties"] == []
+
+
+def test_a_document_is_walked_once(spark):
+    from threadspark.operators import shapes as sh
+
+    deep = sh.record({"a": sh.listed(sh.record({"b": sh.listed(sh.text(2)), "c": sh.number().or_null()}, optional=("c",)))})
+    rows = spark.range(1).select("id", F.lit('{"a":[{"b":["xxx",1],"c":null},{"z":1},null]}').alias("json"))
+    found = sh.shape_issues(rows, ["id"], F.try_parse_json("json"), deep)
+    assert sorted((r["path"], r["kind"]) for r in found.collect()) == [
+        ("a[0].b[0]", "length"), ("a[0].b[1]", "type"), ("a[1]", "missing"), ("a[1]", "unknown"), ("a[2]", "type"),
+    ]
+    assert found._jdf.queryExecution().executedPlan().toString().count("Range (") == 1
