@@ -46,3 +46,13 @@ def test_title_suffix_and_layouts(spark):
     assert [rows[k]["status"] for k in "abc"] == ["ready", "ready", "not_ready"]
     assert rows["a"]["layout"] == "legacy" and rows["b"]["layout"] == "spa" and rows["c"]["declared_count"] == 12
     assert rows["d"]["status"] == "unsupported"
+
+
+def test_parsed_pages_leave_in_frames_of_bounded_size():
+    import pandas as pd
+
+    page = "<h1>t</h1>" + "<p class='x'>a</p>" * 100
+    batch = pd.DataFrame({"page_id": [str(n) for n in range(200)], "html": [page] * 199 + [None]})
+    frames = list(page_html._parse_batches(iter([batch, batch.head(0)])))
+    assert sum(map(len, frames)) == 199 * 102 + 1 and max(map(len, frames)) < page_html.FRAME_ROWS + 102
+    assert pd.concat(frames)["page_id"].nunique() == 200

@@ -26,6 +26,9 @@ ELEMENTS = (
     " text string, main_no int, reply_no int"
 )
 
+# Elements, and characters of their pages, of one frame.
+FRAME_ROWS, FRAME_CHARS = 4_096, 4_000_000
+
 COLUMNS = ["page_id", "node_no", "tag", "element_id", "classes", "attributes", "text", "main_no", "reply_no"]
 
 
@@ -81,9 +84,17 @@ class _Elements(HTMLParser):
                 row["text"].append(data)
 
 
+def _element_frame(rows):
+    frame = pd.DataFrame(rows, columns=COLUMNS)
+    for name in ("main_no", "reply_no"):
+        frame[name] = frame[name].astype("Int32")
+    return frame
+
+
 def _parse_batches(batches):
+    """Elements go out in frames of bounded size: a batch holds as many pages as Spark likes, each with thousands of elements."""
     for batch in batches:
-        out = []
+        out, chars = [], 0
         for page_id, html in zip(batch["page_id"], batch["html"]):
             parser = _Elements()
             parser.feed(html or "")
@@ -93,10 +104,12 @@ def _parse_batches(batches):
             for row in parser.rows:
                 if row["classes"] or row["attributes"] or row["tag"] in ("title", "h1", "html"):
                     out.append((str(page_id), row["node_no"], row["tag"], row["element_id"], row["classes"], row["attributes"], "".join(row["text"]), row["main_no"], row["reply_no"]))
-        frame = pd.DataFrame(out, columns=COLUMNS)
-        for name in ("main_no", "reply_no"):
-            frame[name] = frame[name].astype("Int32")
-        yield frame
+            chars += len(html or "")
+            if len(out) >= FRAME_ROWS or chars >= FRAME_CHARS:
+                yield _element_frame(out)
+                out, chars = [], 0
+        if out:
+            yield _element_frame(out)
 
 
 def element_rows(pages: DataFrame) -> DataFrame:
