@@ -99,3 +99,17 @@ def test_merged_history_is_dealt_once(spark):
     assert [r["attempt_id"] for r in refused.collect()] == ["b", "b"]
     plan = merged._jdf.queryExecution().executedPlan().toString()
     assert "partial_min(_identity" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_records_are_not_dealt_by_their_rule(spark):
+    from threadspark.sources.rules import rules_table
+
+    rows = spark.range(6).select(
+        "id", F.lit("1.0").alias("schema_version"), F.lit("https://x.y/p/1").alias("thread_url"), F.lit("1").alias("thread_id"), F.array(F.lit("r")).alias("reply_ids"),
+        F.lit("keep").alias("decision"), F.when(F.col("id") > 0, "R01.01").alias("primary_reason_id"), F.array(F.lit("spam")).alias("internal_tags"),
+        *[F.lit(None).cast("string").alias(c) for c in ["reviewed_at", "analysis_attempt_id", "snapshot_id", "finding_id"]],
+    ).withColumn("id", F.col("id").cast("string"))
+    judged = ledger.record_violations(rows, rules_table(spark), "x.y")
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(primary_reason_id" not in plan
+    assert judged.filter(F.array_contains("violations", "primary_reason_id")).count() == 0

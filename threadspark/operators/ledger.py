@@ -259,7 +259,8 @@ def record_violations(
     Longer lists than the given bounds are violations; without bounds any length is fine.
     """
     known = rules.select(F.col("rule_id").alias("primary_reason_id"), F.lit(True).alias("_known"))
-    rows = records.join(known, "primary_reason_id", "left")
+    # The library is small whatever the records are; most records may name one rule, which must not become one task.
+    rows = records.join(F.broadcast(known), "primary_reason_id", "left")
     url_thread = thread_id_from_url(F.col("thread_url"), host)
 
     def missing(column, pattern):
