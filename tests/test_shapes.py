@@ -70,6 +70,15 @@ def test_answers_of_both_protocols(spark):
         assert found[f"a{k}"]["reject_code"] == ("schema" if want else None)
 
 
+def test_answers_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(results, "ANSWERS", 5)
+    rows = [(f"a{k}", "t", json.dumps(answer(finding())), "stop") for k in range(40)]
+    one = spark.createDataFrame(rows, "attempt_id string, thread_id string, content string, finish_reason string").coalesce(1)
+    found = results.parse_results(one).select("attempt_id", "reject_code", F.spark_partition_id().alias("task")).collect()
+    assert sorted(row["attempt_id"] for row in found) == sorted(f"a{k}" for k in range(40)) and {row["reject_code"] for row in found} == {None}
+    assert len({row["task"] for row in found}) > 4
+
+
 def test_uncertainties_are_cleaned_or_read_as_narrative(spark):
     new = answer(finding(uncertainties=["P1 vs U2", 5, " ", "长" * 200, "R01.01", "four", "five"]))
     old = {"summary": "s", "findings": [finding(uncertainties=["plain P1", {"note": "n", "replyId": "P2"}, 7])]}
