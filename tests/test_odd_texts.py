@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from threadspark.functions.text import trim
+from threadspark.functions.text import trim, truncate_safe
 from threadspark.plans import catalog
 
 
@@ -17,3 +17,8 @@ def test_blank_and_missing_texts_in_finding_answers(spark, tmp_path):
 def test_trim_stops_at_other_line_ends(spark):
     rows = spark.createDataFrame([(" a \x85",), (" a \n\u2028 ",), (" \x85 ",)], "t string")
     assert [row[0] for row in rows.select(trim(F.col("t"))).collect()] == ["a \x85", "a", "\x85"]
+
+
+def test_a_token_before_a_line_end_is_not_cut(spark):
+    rows = spark.createDataFrame([("甲甲甲甲 u\nx甲甲",), ("甲甲甲甲\n P12345",), ("甲甲甲甲甲 upon",)], "t string")
+    assert [row[0] for row in rows.select(truncate_safe(F.col("t"), 8)).collect()] == ["甲甲甲甲 u\n…", "甲甲甲甲…", "甲甲甲甲甲…"]
